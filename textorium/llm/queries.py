@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_classifier, quality_rules
+from pyspark.sql import functions as F
+
+from . import decontamination, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -18,6 +20,31 @@ def op3_sainte_lague_mix(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix)}
+def op5_recursive_secrets(spark, d):
+    found = secrets.find_secrets(table(spark, d, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op6_line_chunk_dedup(spark, d):
+    out = line_dedup.dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed_lines"), "text")
+
+
+def op7_spaced_seeds(spark, d):
+    return decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op9_covering_simhash(spark, d):
+    out = simhash.near_duplicates(table(spark, d, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix, op5_recursive_secrets, op6_line_chunk_dedup,
+        op7_spaced_seeds, op9_covering_simhash,
+    )
+}
 
 SQL = {"op2_host_rules": quality_rules.SQL, "op3_sainte_lague_mix": mixing.sql()}
