@@ -1,4 +1,62 @@
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textorium.llm import decontamination, language_id, line_dedup, mixing, simhash
+from textorium.llm.common import table, written
+
+#: A document whose best language has less than this pooled probability isn't in one language.
+LEAST_SCORE = 0.5
+#: Near copies at 0.8 of their five-word shingles differ in a few fingerprint bits more than exact ones' rewrites.
+RADIUS = 6
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in one of the learned languages."""
+    rest = [c for c in docs.columns if c != "text"]
+    named = language_id.identify(docs.withColumn("_text", F.col("text")), language_id.learn(docs), "doc_id", "text", *[c for c in rest if c != "doc_id"], "_text")
+    kept = named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumnRenamed("_text", "text").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated chunks of lines; documents of which no word is left go."""
+    cut = line_dedup.dedup(docs)
+    left = (F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash.keep_one(docs, radius=RADIUS).select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark items."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixes sources to their target weights: the documents taken, with the words taken, their shard and spans."""
+    return mixing.mixed(docs)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("sources", sources)]
+
+#: The network and the hashes aren't in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written to the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -71,13 +71,13 @@ def block_quotas(targets: DataFrame, block_words: int = 32, shards: int = 8, max
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", seed: int = 17, weights=WEIGHTS,
         share: float = 1.5, max_repeats: int = 2, block_words: int = 32, shards: int = 8) -> DataFrame:
-    """(id, size, source_size, target, taken, shard, spans), a row per row of docs.
+    """(id, th, size, source_size, target, taken, shard, spans), a row per row of docs; th is the text's XXH64.
 
     spans: for each time round, the words [start, end) of the document that the mix takes; shard: the one its first
     taken word falls in, null if none is taken.
     """
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sizes = as_rows(docs, id_col, source, "text").select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.size(words("text")).cast("long").alias("size"), key.alias("key"))
+    sizes = as_rows(docs, id_col, source, "text").select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.xxhash64("text").alias("th"), F.size(words("text")).cast("long").alias("size"), key.alias("key"))
     sizes = written(sizes, "mix")
     quotas = written(block_quotas(source_targets(sizes, weights, share, max_repeats), block_words, shards, max_repeats), "quotas")
 
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", seed: i
     d = d.withColumn("ends", F.filter(ends, lambda e: e > 0))
     first_block = F.floor(F.col("lo") / block_words)
     return d.select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
+        F.col("id").alias(id_col), "th", "size", "source_size", "target",
         F.aggregate("ends", F.lit(0).cast("long"), lambda a, e: a + e).alias("taken"),
         F.when(F.size("ends") > 0, F.size(F.filter("upto", lambda u: u <= first_block))).alias("shard"),
         F.transform("ends", lambda e: F.struct(F.lit(0).cast("long").alias("start"), e.alias("end"))).alias("spans"),
@@ -132,3 +132,10 @@ d as (select z.doc_id, z.size, q.source_size, q.target, q.stream,
   from z join q on z.source is not distinct from q.source)
 select doc_id, size, source_size, cast(target as double) as target, cast(least(size, greatest(0, stream - pos)) + least(size, greatest(0, stream - source_size - pos)) as bigint) as taken from d
 """
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that the mix takes from, with all their columns and taken, shard and spans."""
+    m = mix(docs, id_col, **options).filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), "taken", "shard", "spans").dropDuplicates(["_id", "_th"])
+    d = docs.drop("taken", "shard", "spans").withColumn("_h", F.xxhash64("text"))
+    return d.join(m, d[id_col].eqNullSafe(m["_id"]) & (d["_h"] == m["_th"])).drop("_h", "_id", "_th")

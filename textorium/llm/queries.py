@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_sainte_lague_mix(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_blocks(spark, d):
+    out = html_text.extract(table(spark, d, "pages"), "page_id", "html", "url")
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op5_recursive_secrets(spark, d):
     found = secrets.find_secrets(table(spark, d, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -34,6 +39,13 @@ def op7_spaced_seeds(spark, d):
     return decontamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op8_byte_network(spark, d):
+    docs = table(spark, d, "documents")
+    out = language_id.identify(docs, language_id.learn(docs))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_covering_simhash(spark, d):
     out = simhash.near_duplicates(table(spark, d, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -42,8 +54,8 @@ def op9_covering_simhash(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix, op5_recursive_secrets, op6_line_chunk_dedup,
-        op7_spaced_seeds, op9_covering_simhash,
+        op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix, op4_line_blocks, op5_recursive_secrets,
+        op6_line_chunk_dedup, op7_spaced_seeds, op8_byte_network, op9_covering_simhash,
     )
 }
 

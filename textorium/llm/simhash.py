@@ -61,14 +61,15 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp), a row per row of docs; no shuffle."""
+    """(id, th, fp), a row per row of docs; th tells texts apart; no shuffle."""
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "th": b["th"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return d.mapInPandas(run, f"id {kind}, th long, fp long")
 
 
 def bucket_links(members: np.ndarray, mask: int, radius: int) -> list[tuple[int, int]]:
@@ -145,11 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
     return e
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(id, fp, component), a row per row of docs: component is the smallest id that links reach."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(id, th, fp, root, component), a row per row of docs: root is the group's smallest fingerprint."""
     d = written(fingerprints(docs, id_col, text, shingle), "fingerprints")
     fps = written(d.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     e = components(links(fps, radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     linked = fps.join(e, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return d.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    return d.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """(id, fp, component), a row per row of docs: component is the smallest id that links reach."""
+    return groups(docs, id_col, text, shingle, radius).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, that have their group's smallest id (null last, then text hash)."""
+    g = written(groups(docs, id_col, text, shingle, radius).select("id", "th", "root"), "groups")
+    best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k"))
+    best = written(best.select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th")), "kept")
+    d = docs.withColumn("_h", F.xxhash64(text))
+    d = d.join(best, d[id_col].eqNullSafe(best["_id"]) & (d["_h"] == best["_th"]), "left_semi")
+    if g.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # else a shuffle of texts for nothing
+        d = d.dropDuplicates([id_col, "_h"])
+    return d.drop("_h")
