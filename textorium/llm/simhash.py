@@ -6,8 +6,9 @@ positions leave some v with even products for all of them, so two fingerprints w
 that some table keeps: no pair within the radius is missed.
 
 Equal fingerprints are one row before anything is compared, so that copies are never paired. A bucket's members are
-compared within the task that holds its list of distinct fingerprints (8 bytes each): pair by pair when few, else
-by looking up every fingerprint's neighbours, which is linear; only a bucket's spanning links leave it. Components
+compared within the task that holds its list of distinct fingerprints (8 bytes each): pair by pair, or, once there
+are more members than a fingerprint has neighbours, by looking all neighbours up, which is linear; only a bucket's
+spanning links leave it. Components
 come from alternating large and small stars, each round written to the shared folder.
 
 Cases: a null or empty text has fingerprint 0, linked like any other; null ids take part but name a component only
@@ -18,6 +19,7 @@ other columns of the input are ignored by `near_duplicates`.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BITS = 64
-#: Below this many members all pairs of a bucket are compared at once.
+#: Rows of a block of pairs that are compared at once.
 FEW = 256
 
 
@@ -51,9 +53,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def covering_masks(radius: int) -> list[int]:
-    """2^(radius + 1) - 1 masks; each position's vector is its number modulo that, plus 1."""
+    """2^(radius + 1) - 1 masks that keep 32 bits or more each, for a radius of 6 at most.
+
+    Positions take the non-zero vectors in turn; at radius 6, where these outnumber the positions, the 64 with the
+    top bit, whose products with any other vector are odd for exactly half.
+    """
+    if not 0 <= radius <= 6:
+        raise ValueError("radius from 0 to 6")
     tables = (1 << radius + 1) - 1
-    return [sum(1 << i for i in range(BITS) if ((i % tables + 1) & v).bit_count() & 1) for v in range(1, tables + 1)]
+    vectors = [64 + i if radius == 6 else i % tables + 1 for i in range(BITS)]
+    return [sum(1 << i for i in range(BITS) if (vectors[i] & v).bit_count() & 1) for v in range(1, tables + 1)]
 
 
 def _signed(x: int) -> int:
@@ -90,12 +99,14 @@ def bucket_links(members: np.ndarray, mask: int, radius: int) -> list[tuple[int,
                 return
             label = new
 
-    if n <= FEW:
-        i, j = np.nonzero(np.triu(np.bitwise_count(a[:, None] ^ a[None, :]) <= radius, 1))
-        if len(i):
-            join(i, j)
+    free = [1 << b for b in range(BITS) if not mask >> b & 1]
+    if n <= max(FEW, sum(comb(len(free), k) for k in range(1, radius + 1))):
+        for at in range(0, n, FEW):
+            i, j = np.nonzero(np.bitwise_count(a[at : at + FEW, None] ^ a[None, at:]) <= radius)
+            i, j = i[i < j] + at, j[i < j] + at
+            if len(i):
+                join(i, j)
     else:
-        free = [1 << b for b in range(BITS) if not mask >> b & 1]
         for k in range(1, radius + 1):
             for flips in combinations(free, k):
                 other = a ^ np.uint64(sum(flips))
