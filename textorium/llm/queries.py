@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash
+from . import decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 from .common import table
 
 
@@ -51,11 +51,17 @@ def op9_covering_simhash(spark, d):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_suffix_arrays(spark, d):
+    out = suffix_dedup.dedup(table(spark, d, "documents"), keep_bytes=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix, op4_line_blocks, op5_recursive_secrets,
         op6_line_chunk_dedup, op7_spaced_seeds, op8_byte_network, op9_covering_simhash,
+        op10_suffix_arrays,
     )
 }
 
