@@ -1,0 +1,397 @@
+"""Each operator against a plain version on small rows, with nulls, empty texts, ties and repeated rows among them."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import re
+import urllib.parse
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+
+from textorium.llm import (
+    decontamination, html_text, language_id, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h string, th string, size string, _h string, hits string, spans string"
+WORDS = "the of and to in is that for it with on as are this be by at from or an was not have but all".split()
+
+
+def prose(seed: int, n: int, lines: int = 0) -> str:
+    g = np.random.default_rng(seed)
+    w = [str(g.choice(WORDS)) + str(g.integers(0, 400)) for _ in range(n)]
+    for k in range(lines):
+        w[(k + 1) * n // (lines + 1)] += "\n"
+    return " ".join(w).replace("\n ", "\n")
+
+
+def table(spark, rows):
+    """rows of (doc_id, text, lang, source), with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", "x", "x", "x", "x", "x") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = prose(1, 120, 6)
+    near = base.split(" ")
+    near[60] = "changed"
+    out = [(k, prose(k + 10, 60 + k, 4), "en" if k % 3 else "fr", f"s{k % 4}") for k in range(20)]
+    out += [(30, base, "en", "s0"), (31, base, "en", "s0"), (32, " ".join(near), "en", "s1"), (33, base + "\n" + prose(77, 40, 2), None, None)]
+    out += [(40, None, "en", "s2"), (41, "", None, "s2"), (42, " \n\t", "fr", None), (43, "one", "en", "s3"), (None, prose(5, 50, 3), "en", None)]
+    out += [(50, prose(90, 30, 2), "en", "s0")] * 2 + [(51, "a b c d e f g h " * 40, "en", "s1"), (52, "é" * 20_000, "fr", "s1"), (53, prose(3, 20_000, 500), "en", "s0")]
+    return out
+
+
+def split(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_quality_rules(spark, rows):
+    got = quality_rules.quality_rules(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+
+    def plain(t):
+        w = split(t)
+        at = {}
+        for i in range(len(w) - 7):
+            at.setdefault(tuple(w[i : i + 8]), []).append(i)
+        rep = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(8)}
+        lines = [x for x in (t or "").split("\n") if split(x)]
+        return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(rep))
+
+    want = sorted((str(r[0]), *plain(r[1])) for r in rows)
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert r.kept == (not r.base_failed and not r.host_failed)
+
+
+def test_bad_host_takes_its_documents(spark):
+    bad = [(k, "no", "en", "bad") for k in range(200)] + [(900, prose(1, 60), "en", "bad")]
+    good = [(1000 + k, prose(k, 40), "en", f"g{k % 9}") for k in range(400)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, bad + good)).collect()}
+    assert not got[900].kept and not got[900].base_failed
+    assert all(got[r[0]].kept for r in good)
+
+
+def test_classifier(spark):
+    clean = [(k, prose(k, 60, 3), "en", f"s{k % 5}") for k in range(150)]
+    junk = [(1000 + k, "BUY NOW!! $$$ " * 30, "en", f"s{k % 5}") for k in range(50)]
+    labels = spark.createDataFrame([(r[0], 1 if r[0] < 1000 else 0) for r in (clean + junk)[::2]] + [(7, None), (None, 1)], "doc_id long, quality int")
+    rows = clean + junk + [(5000, None, None, None), (5001, "", "en", None)]
+    got = {r.doc_id: r for r in quality_classifier.classify(table(spark, rows), labels).collect()}
+    assert len(got) == len(rows)
+    assert all(got[r[0]].kept for r in clean) and not any(got[r[0]].kept for r in junk)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    alone = quality_classifier.classify(table(spark, clean), labels.filter("false")).collect()
+    assert all(r.kept for r in alone)
+
+
+def test_sparse_site_is_shrunk(spark):
+    rows = [(k, prose(k, 60, 3), "en", "big") for k in range(100)] + [(200, prose(7, 60, 3), "en", "tiny")]
+    rows += [(300 + k, "SPAM!! $$ " * 30, "en", "bad") for k in range(60)]
+    labels = spark.createDataFrame([(k, 1) for k in range(100)] + [(300 + k, 0) for k in range(60)] + [(200, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_classifier.classify(table(spark, rows), labels).collect()}
+    assert got[310].host_score < 0.2 < got[200].host_score < got[5].host_score
+
+
+def apportion(targets, house, caps):
+    seats = dict.fromkeys(targets, 0)
+    for _ in range(house):
+        best = max((s for s in targets if seats[s] < caps[s]), key=lambda s: targets[s] / (2 * seats[s] + 1), default="full")
+        if best == "full":
+            break
+        seats[best] += 1
+    return seats
+
+
+def test_mix(spark, rows):
+    m = mixing.mix(table(spark, rows)).collect()
+    assert len(m) == len(rows)
+    size, of = {}, {}
+    for r in rows:
+        size[r[3]] = size.get(r[3], 0) + len(split(r[1]))
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * level >= 2 * size[s]]
+        for s in full or open_:
+            target[s] = 2.0 * size[s] if full else weight[s] * level
+        left -= sum(target[s] for s in full)
+        open_ = open_ - set(full) if full else set()
+    by_id = {r[0]: r[3] for r in rows}
+    for r in m:
+        assert r.source_size == size[by_id[r.doc_id]]
+        assert abs(r.target - target[by_id[r.doc_id]]) < 1e-6
+        assert 0 <= r.taken <= 2 * r.size and r.taken == sum(s.end - s.start for s in r.spans)
+        of[by_id[r.doc_id]] = of.get(by_id[r.doc_id], 0) + r.taken
+    quotas = mixing.block_quotas(mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, size long")), shards=4).collect()
+    house = int(sum(target.values()) / 32 + 0.5)
+    for k in range(4):
+        want = apportion(target, house * (k + 1) // 4, {s: 2 * -(-size[s] // 32) for s in size})
+        assert {q.source: q.upto[k] for q in quotas} == want
+    for s in names:
+        assert abs(of[s] - target[s]) <= 64
+    again = mixing.mix(table(spark, rows[::-1])).collect()
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in again) == sorted((str(r.doc_id), r.size, r.taken) for r in m)
+
+
+def test_mixed_keeps_columns(spark, rows):
+    d = table(spark, rows)
+    got = mixing.mixed(d)
+    assert set(d.columns) - {"spans"} < set(got.columns) and got.filter("taken <= 0").count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><ul class="main-menu"><li>Home</ul>
+<div id="sidebar-left">Links <a>x</a></div><div class="cookie-notice">We use</div><main><div class="content"><h2>Head &amp; line</h2>
+<p>First&nbsp;para <i>it</i>alic<script>x="</p></div>"</script> goes<br>on.<div class="advert box">Buy</div><ul><li>one<li>two</ul>
+<form>name<input></form><!-- <p>no</p> --><blockquote>Quote &lt;b&gt;</blockquote>tail  text</div><section class="comments"><p>Says</p></section>
+</main><footer>f</footer></body></html>"""
+
+
+def test_html(spark):
+    long = "<div>" + "".join(f"<p>{prose(k, 40)}</p>" for k in range(3)) + "</div>"
+    bare = f"<body><nav><a>menu</a></nav>{long}<div class='comment-list'><p>{prose(9, 50)}</p></div><footer>c</footer>"
+    pages = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, None, "<article><b>x<p>y</b>z</p></article>"), (5, "u", bare), (5, "u", bare), (6, "u", "<p>no surge")]
+    d = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_text.extract(d, "page_id", "html", "url").collect()}
+    assert got[1].text == "Head & line\nFirst para italic goes on.\none\ntwo\nQuote <b>\ntail text"
+    assert (got[2].text, got[2].n_chars, got[3].text, got[6].text) == ("", 0, "", "")
+    assert got[4].text == "x\ny\nz"
+    assert got[5].text == "\n".join(prose(k, 40) for k in range(3)) and got[5].n_chars == len(got[5].text)
+
+
+def test_secrets(spark):
+    key = "AKIA" + "ABCDEFGH12345678"
+    plain = f'é password = "hunter2hunter" and {key}; 0123456789abcdef0123456789 token: ab Secret=token:abcdefg'
+    hidden = "api_key=zzz999zzz"
+    b64 = base64.b64encode(hidden.encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"note {key} end".encode(), mtime=0)).decode()
+    twice = urllib.parse.quote(urllib.parse.quote("secret=abcdef123", safe=""), safe="")
+    escaped = "".join(f"\\u{ord(c):04x}" for c in "passwd=qwertyuiop")
+    texts = [plain, f"x {b64} y", f"zip {packed}", f"q={twice}", f"say {escaped} now", None, "", "%41%41" * 50, base64.b64encode(b64.encode()).decode()]
+    d = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in secrets.find_secrets(d).collect()}
+    a, k, h = plain.index("password"), plain.index("AKIA"), plain.index("0123")
+    want = f"assign:{a}:{plain.index('hunter2hunter') + 13},access:{k}:{k + 20},hex:{h}:{h + 26}"
+    assert got[0].spans == want and got[0].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert (got[0].n_assign, got[0].n_access, got[0].n_hex) == (1, 1, 1)
+    assert got[1].spans == f"assign:2:{2 + len(b64)}" and got[1].n_assign == 0
+    assert f"access:4:{4 + len(packed)}" in got[2].spans
+    assert got[3].spans.startswith("assign:") and got[4].spans == f"assign:4:{4 + len(escaped)}"
+    assert got[5].spans == got[6].spans == got[7].spans == "" and got[5].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[8].spans == f"assign:0:{len(texts[8])}"
+
+
+def test_line_dedup(spark, rows):
+    def xx(s):
+        v = xxhash.xxh64_intdigest(s.encode(), 42)
+        return v - (1 << 64) if v >> 63 else v
+
+    def chunks(t):
+        lines = t.split("\n")
+        h = [xx(x) % line_dedup.PRIME for x in lines]
+        r = [h[i] if i < 1 else (h[i] + h[i - 1] * line_dedup.BASE) % line_dedup.PRIME for i in range(len(h))]
+        ends = [e for e in range(2, len(r)) if r[e - 1] < r[e - 2] and r[e - 1] <= r[e]] + [len(r)]
+        return [lines[a:b] for a, b in zip([0, *ends], ends)]
+
+    seen, want = set(), {}
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda x: (x[0] is None, x[0] or 0, xx(x[1]))):
+        kept = []
+        for c in chunks(t):
+            if sum(bool(split(x)) for x in c) > 1:
+                if tuple(c) in seen:
+                    continue
+                seen.add(tuple(c))
+            kept += c
+        want[i] = "\n".join(kept)
+    d = table(spark, rows)
+    out = line_dedup.dedup(d)
+    got = out.collect()
+    assert len(got) == len(rows) and set(d.columns) < set(out.columns)
+    for r in got:
+        assert r.text == (None if r.doc_id == 40 else want[r.doc_id])
+    assert sum(r._n_removed for r in got) > 0
+
+
+def test_decontamination(spark, rows):
+    item = prose(500, 30)
+    words = item.split()
+    swapped = [("other" if k % 5 == 2 else w) for k, w in enumerate(words)]
+    part = " ".join(words[8:24])
+    extra = [(100, f"{prose(1, 40)} {item.upper()}! {prose(2, 40)}", "en", "s"), (101, f"{prose(3, 9)} {' '.join(swapped)} {prose(4, 9)}", "en", "s"), (102, part, "en", "s"), (103, " ".join(words[:6]), "en", "s")]
+    bench = spark.createDataFrame([(1, item, "x"), (2, item, "x"), (3, None, "x"), (4, "too short", "x"), (None, prose(501, 20), "x")], "item_id long, text string, seed string")
+    d = table(spark, rows + extra)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, bench).collect()}
+    assert got == {(i, k) for i in (100, 101, 102) for k in (1, 2)}
+    r = decontamination.contaminated(d, bench).filter("doc_id = 100 and item_id = 1").first()
+    assert (r.first_word, r.last_word, r.n_equal) == (40, 70, 30)
+    left = decontamination.decontaminate(d, bench)
+    assert left.columns == d.columns and left.count() == len(rows) + 1
+    assert decontamination.decontaminate(d, bench.filter("false")).count() == len(rows) + 4
+
+
+def test_masks_cover():
+    for radius in (1, 2, 3):
+        masks = simhash.covering_masks(radius)
+        assert len(masks) == 2 ** (radius + 1) - 1
+        assert all(any(not m & sum(1 << b for b in c) for m in masks) for c in combinations(range(64), radius))
+    assert all(m.bit_count() >= 32 for m in simhash.covering_masks(6))
+
+
+def plain_components(ids, fps, radius):
+    group = {f: f for f in fps}
+    todo = True
+    while todo:
+        todo = False
+        for a, b in combinations(sorted(set(fps)), 2):
+            if (a ^ b).bit_count() <= radius and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if v == high else v for k, v in group.items()}
+                todo = True
+    least = {}
+    for i, f in zip(ids, fps):
+        if i is not None:
+            least[group[f]] = min(i, least.get(group[f], i))
+    return [least.get(group[f]) for f in fps]
+
+
+def test_fingerprint_is_the_majority():
+    t = "The Quick brown\x0bfox JUMPS over é the quick brown fox"
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    w = split(w)
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(t) == want
+    assert simhash.fingerprint("One  two") == xxhash.xxh64_intdigest(b"one two", 42)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" ") == 0
+
+
+def test_near_duplicates(spark, rows):
+    d = table(spark, rows)
+    got = simhash.near_duplicates(d).collect()
+    ids, fps = [r.doc_id for r in got], [r.fp % (1 << 64) for r in got]
+    assert sorted(map(str, ids)) == sorted(str(r[0]) for r in rows)
+    assert [r.component for r in got] == plain_components(ids, fps, 2)
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in kept.filter("doc_id in (30, 31, 40, 41, 42, 50)").collect()) == [30, 40, 50]
+
+
+def test_buckets_of_every_size():
+    g = np.random.default_rng(4)
+    mask = simhash.covering_masks(2)[0]
+    center = int(g.integers(0, 1 << 62))
+    free = [b for b in range(64) if not mask >> b & 1]
+    members = {center ^ sum(1 << int(b) for b in g.choice(free, int(g.integers(0, 7)), replace=False)) for _ in range(900)}
+    a = np.array(sorted(members), dtype=np.uint64)
+
+    def groups(links):
+        at = {int(x): int(x) for x in a.view(np.int64)}
+        for x, y in links:
+            at[x] = y
+        find = lambda x: x if at[x] == x else find(at[x])
+        return [find(int(x)) for x in a.view(np.int64)]
+
+    got = groups(simhash.bucket_links(a.view(np.int64), mask, 2))
+    want = plain_components([int(x) for x in a], [int(x) for x in a], 2)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_components_of_a_chain(spark):
+    n = 60
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 30] + [(5, 5), (2, 1)], "a long, b long")
+    got = {r.a: r.b for r in simhash.components(edges).collect()}
+    assert got == {i: 0 if i <= 30 else 31 for i in range(1, n + 1) if i != 31}
+    assert simhash.components(edges.filter("false")).count() == 0
+
+
+def test_suffix_array_is_sorted():
+    g = np.random.default_rng(0)
+    for _ in range(150):
+        t = np.append(g.integers(1, int(g.integers(2, 6)), int(g.integers(1, 70))), 0).astype(np.int32)
+        assert list(suffix_dedup.suffix_array(t, 8)) == sorted(range(len(t)), key=lambda i: list(t[i:]))
+
+
+def plain_removal(rows, span=suffix_dedup.SPAN):
+    first, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        if i is not None:
+            for k in range(len(b) - span + 1):
+                s = b[k : k + span]
+                first[s] = min(i, first.get(s, i))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        if i is not None:
+            for k in range(len(b) - span + 1):
+                if first[b[k : k + span]] < i:
+                    gone[k : k + span] = b"\1" * span
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        runs = len(re.findall(b"\1+", bytes(gone)))
+        out.append((str(i), len(b), len(b) - len(left), runs, hashlib.sha256(left).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_suffix_dedup(spark, rows, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    passage = prose(800, 12)
+    many = [(2000 + k, f"{prose(3000 + k, 12)} {passage} {prose(4000 + k, 12)}", "en", "s") for k in range(12)]
+    edges = [(2100, "x" * 49, "en", "s"), (2101, "x" * 50, "en", "s"), (2102, "x" * 51, "en", "s"), (2103, "y" + "x" * 400 + "z", "en", "s"), (53, "again " * 60, "en", "s"), (54, "again " * 60, "en", "s")]
+    all_rows = rows + many + edges
+    got = suffix_dedup.dedup(table(spark, all_rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_removal([r[:2] for r in all_rows])
+
+
+def test_network_gradient():
+    net = language_id.Network(["a", "b", "c"], 4, 1)
+    g = np.random.default_rng(0)
+    x, y, mask = g.integers(0, 256, (7, 3)), np.array([0, 1, 2]), np.ones((7, 3), dtype=np.float32)
+    _, grads = net.gradients(x, y, mask)
+    for w, d in zip(net.weights(), grads):
+        at = np.unravel_index(np.abs(d).argmax(), d.shape)
+        old = w[at]
+        w[at] = old + 0.05
+        up = net.gradients(x, y, mask)[0]
+        w[at] = old - 0.05
+        down = net.gradients(x, y, mask)[0]
+        w[at] = old
+        assert abs((up - down) / 0.1 - d[at]) < 0.02 * abs(d[at]) + 1e-4
+
+
+def test_language_id(spark):
+    forms = {"xx": "kra mol tip senn", "yy": "oua eli ésu amé"}
+    g = np.random.default_rng(2)
+    say = lambda y, n: " ".join(str(g.choice(forms[y].split())) for _ in range(n))
+    rows = [(k, say("xx" if k % 2 else "yy", 60), "xx" if k % 2 else "yy", "s") for k in range(120)]
+    edge = [(200, None, "xx", "s"), (201, "", "yy", "s"), (202, "123 !!", "xx", "s"), (203, say("xx", 9000), None, None)]
+    d = table(spark, rows + edge)
+    net = language_id.learn(d, steps=150)
+    got = {r.doc_id: r for r in language_id.identify(d, net).collect()}
+    assert len(got) == len(rows) + 4
+    assert sum(got[r[0]].lang_pred == r[2] for r in rows) >= 118 and got[203].lang_pred == "xx"
+    assert [(got[k].lang_pred, got[k].score) for k in (200, 201, 202)] == [("und", 0.0)] * 3
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.learn(d.filter("false")) is None
+    assert {r.lang_pred for r in language_id.identify(d, None).collect()} == {"und"}
+
+
+def test_empty_tables(spark):
+    d = table(spark, [])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, html string")
+    for out in (
+        quality_rules.quality_rules(d), quality_classifier.classify(d, none), mixing.mix(d), mixing.mixed(d), html_text.extract(pages),
+        secrets.find_secrets(d), line_dedup.dedup(d), decontamination.contaminated(d, bench), decontamination.decontaminate(d, bench),
+        language_id.identify(d, language_id.learn(d)), simhash.near_duplicates(d), simhash.keep_one(d), suffix_dedup.dedup(d),
+    ):
+        assert out.count() == 0

@@ -98,6 +98,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", agree: float = 0.8) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    bad = written(overlaps(docs, benchmark, id_col, item_col, agree).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
-    d = docs.withColumn("_h", F.xxhash64("text"))
-    return d.join(bad, d[id_col].eqNullSafe(bad["_id"]) & (d["_h"] == bad["_th"]), "left_anti").drop("_h")
+    bad = written(overlaps(docs, benchmark, id_col, item_col, agree).select(F.col("id").alias("_own_id"), F.col("th").alias("_own_th")).distinct(), "contaminated")
+    d = docs.withColumn("_own_h", F.xxhash64("text"))
+    return d.join(bad, d[id_col].eqNullSafe(bad["_own_id"]) & (d["_own_h"] == bad["_own_th"]), "left_anti").drop("_own_h")

@@ -176,9 +176,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     """The rows of docs, with all their columns, that have their group's smallest id (null last, then text hash)."""
     g = written(groups(docs, id_col, text, shingle, radius).select("id", "th", "root"), "groups")
     best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k"))
-    best = written(best.select(F.col("k.id").alias("_id"), F.col("k.th").alias("_th")), "kept")
-    d = docs.withColumn("_h", F.xxhash64(text))
-    d = d.join(best, d[id_col].eqNullSafe(best["_id"]) & (d["_h"] == best["_th"]), "left_semi")
+    best = written(best.select(F.col("k.id").alias("_own_id"), F.col("k.th").alias("_own_th")), "kept")
+    d = docs.withColumn("_own_h", F.xxhash64(text))
+    d = d.join(best, d[id_col].eqNullSafe(best["_own_id"]) & (d["_own_h"] == best["_own_th"]), "left_semi")
     if g.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # else a shuffle of texts for nothing
-        d = d.dropDuplicates([id_col, "_h"])
-    return d.drop("_h")
+        d = d.dropDuplicates([id_col, "_own_h"])
+    return d.drop("_own_h")
