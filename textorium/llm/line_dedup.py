@@ -57,14 +57,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with the repeated chunks cut out of their text, and _n_lines, _n_removed (lines)."""
-    gone = written(repeated(docs, id_col, text), "chunk-cuts").select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("cuts").alias("_cuts"))
-    d = docs.withColumn("_h", F.xxhash64(text))
-    d = d.join(gone, d[id_col].eqNullSafe(gone["_id"]) & (d["_h"] == gone["_th"]), "left")
-    d = d.withColumn("_lines", F.split(F.col(text), "\n"))
-    pieces = F.expr("""flatten(transform(sequence(0, size(_cuts)), k -> slice(_lines,
-        if(k = 0, 1, _cuts[k - 1].start + _cuts[k - 1].n + 1),
-        if(k = size(_cuts), size(_lines), _cuts[k].start) - if(k = 0, 0, _cuts[k - 1].start + _cuts[k - 1].n))))""")
-    d = d.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-    d = d.withColumn("_n_removed", F.coalesce(F.expr("aggregate(_cuts, 0L, (a, c) -> a + c.n)"), F.lit(0)).cast("long"))
-    d = d.withColumn(text, F.when(F.col("_cuts").isNotNull(), F.array_join(pieces, "\n")).otherwise(F.col(text)))
-    return d.drop("_h", "_id", "_th", "_cuts", "_lines")
+    gone = written(repeated(docs, id_col, text), "chunk-cuts").select(F.col("id").alias("_own_id"), F.col("th").alias("_own_th"), F.col("cuts").alias("_own_cuts"))
+    d = docs.withColumn("_own_h", F.xxhash64(text))
+    # The cuts grow with the corpus: they are never broadcast, so that the plan is one at every size.
+    d = d.join(gone.hint("merge"), d[id_col].eqNullSafe(gone["_own_id"]) & (d["_own_h"] == gone["_own_th"]), "left")
+    d = d.withColumn("_own_lines", F.split(F.col(text), "\n"))
+    pieces = F.expr("""flatten(transform(sequence(0, size(_own_cuts)), k -> slice(_own_lines,
+        if(k = 0, 1, _own_cuts[k - 1].start + _own_cuts[k - 1].n + 1),
+        if(k = size(_own_cuts), size(_own_lines), _own_cuts[k].start) - if(k = 0, 0, _own_cuts[k - 1].start + _own_cuts[k - 1].n))))""")
+    d = d.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_own_lines")).cast("long"))
+    d = d.withColumn("_n_removed", F.coalesce(F.expr("aggregate(_own_cuts, 0L, (a, c) -> a + c.n)"), F.lit(0)).cast("long"))
+    d = d.withColumn(text, F.when(F.col("_own_cuts").isNotNull(), F.array_join(pieces, "\n")).otherwise(F.col(text)))
+    return d.drop("_own_h", "_own_id", "_own_th", "_own_cuts", "_own_lines")
