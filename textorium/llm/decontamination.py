@@ -100,4 +100,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of docs that hold no benchmark item, with all their columns."""
     bad = written(overlaps(docs, benchmark, id_col, item_col, agree).select(F.col("id").alias("_own_id"), F.col("th").alias("_own_th")).distinct(), "contaminated")
     d = docs.withColumn("_own_h", F.xxhash64("text"))
-    return d.join(bad, d[id_col].eqNullSafe(bad["_own_id"]) & (d["_own_h"] == bad["_own_th"]), "left_anti").drop("_own_h")
+    return d.join(bad.hint("merge"), d[id_col].eqNullSafe(bad["_own_id"]) & (d["_own_h"] == bad["_own_th"]), "left_anti").drop("_own_h")

@@ -138,4 +138,4 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that the mix takes from, with all their columns and taken, shard and spans."""
     m = mix(docs, id_col, **options).filter("taken > 0").select(F.col(id_col).alias("_own_id"), F.col("th").alias("_own_th"), "taken", "shard", "spans").dropDuplicates(["_own_id", "_own_th"])
     d = docs.drop("taken", "shard", "spans").withColumn("_own_h", F.xxhash64("text"))
-    return d.join(m, d[id_col].eqNullSafe(m["_own_id"]) & (d["_own_h"] == m["_own_th"])).drop("_own_h", "_own_id", "_own_th")
+    return d.join(m.hint("merge"), d[id_col].eqNullSafe(m["_own_id"]) & (d["_own_h"] == m["_own_th"])).drop("_own_h", "_own_id", "_own_th")

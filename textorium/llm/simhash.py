@@ -178,7 +178,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingl
     best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k"))
     best = written(best.select(F.col("k.id").alias("_own_id"), F.col("k.th").alias("_own_th")), "kept")
     d = docs.withColumn("_own_h", F.xxhash64(text))
-    d = d.join(best, d[id_col].eqNullSafe(best["_own_id"]) & (d["_own_h"] == best["_own_th"]), "left_semi")
+    d = d.join(best.hint("merge"), d[id_col].eqNullSafe(best["_own_id"]) & (d["_own_h"] == best["_own_th"]), "left_semi")
     if g.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # else a shuffle of texts for nothing
         d = d.dropDuplicates([id_col, "_own_h"])
     return d.drop("_own_h")

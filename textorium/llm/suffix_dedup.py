@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                 rows += [(x["h"], i, th, x["at"] >> 7, raw[x["at"] >> 7 : (x["at"] >> 7) + (x["at"] & 127)], x["hot"]) for x in cuts]
             yield pd.DataFrame(rows, columns=["h", "id", "th", "lo", "part", "hot"])
 
-    parts = d.join(by_doc, (d["id"] == by_doc["i"]) & (d["th"] == by_doc["x"])).select("id", "th", "text", "cuts")
+    parts = d.join(by_doc.hint("merge"), (d["id"] == by_doc["i"]) & (d["th"] == by_doc["x"])).select("id", "th", "text", "cuts")
     parts = written(parts.mapInPandas(cut, "h long, id long, th long, lo long, part binary, hot boolean"), "contexts")
     _released(spark)
 
@@ -297,7 +297,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_byte
     _released(docs.sparkSession)
     twice = gone.filter("x <> 0").limit(1).count()
     d = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), (F.xxhash64(text) if twice else F.lit(0).cast("long")).alias("th"))
-    d = d.join(gone, (d["id"] == gone["i"]) & (d["th"] == gone["x"]), "left").select("id", "text", "spans")
+    d = d.join(gone.hint("merge"), (d["id"] == gone["i"]) & (d["th"] == gone["x"]), "left").select("id", "text", "spans")
 
     def run(batches):
         for b in batches:
