@@ -134,7 +134,7 @@ def starts_with_connector(c: Column | str) -> Column:
 def shortened(c: Column | str, n: int) -> Column:
     """At most n characters, cut at the last space, with an ellipsis."""
     t = text_of(c)
-    cut = F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s\S*$", ""), F.lit("..."))
+    cut = F.concat(F.regexp_replace(F.substring(t, 1, n), r"\s\S*\z", ""), F.lit("..."))
     return F.when(F.length(t) <= n, t).otherwise(cut)
 
 

@@ -17,7 +17,8 @@ LEXICON = {"access": ("the", "der", "le", "el"), "burden": ("and", "und", "et",
 def lexical_scores(chunks: DataFrame, *keep: str, text: str = "chunk", lexicon: dict[str, Sequence[str]] = LEXICON) -> DataFrame:
     """(keep, frame_idx, frame, p, w): w is the chunk's words, one at least. Blank chunks don't count."""
     d = chunks.filter(word_count(text) > 0).select(*keep, tokens(text).alias("_t"), F.greatest(F.lit(1), word_count(text)).alias("w"))
-    hits = F.array(*(F.size(F.filter("_t", lambda t, ws=ws: t.isin(*ws))) for ws in lexicon.values()))
+    count = lambda ws: F.size(F.filter("_t", lambda t: t.isin(*ws)))
+    hits = F.array(*map(count, lexicon.values()))
     d = d.withColumn("_hits", hits).withColumn("_all", F.aggregate("_hits", F.lit(0), lambda a, x: a + x))
     names = F.array(*map(F.lit, lexicon))
     d = d.select(*keep, "w", "_all", F.posexplode("_hits").alias("frame_idx", "_n"), names.alias("_names"))

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import frame_queries, text_queries  # noqa: F401
+from .base import QUERIES, SQL
+
+flagship = frame_queries.flagship_monthly_frames
+
+__all__ = ["QUERIES", "SQL", "flagship"]
