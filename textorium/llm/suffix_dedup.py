@@ -1,9 +1,10 @@
 """Operator 10: removal of repeated 50-byte strings with suffix arrays.
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller id. Equal strings must meet in one
-shard for that, so strings are dealt by anchors: of the 16-byte grams in every 50-byte string the one with the least
+shard for that, so strings are dealt by anchors: of the 24-byte grams in every 50-byte string the one with the least
 hash, which equal strings share at the same place. An anchor's context is all that 50-byte strings over its gram
-can reach, 84 bytes. Anchors whose gram stands in one document only are done with. Of equal contexts only the one
+can reach, 76 bytes; one that comes back within its document is one row, and its places are looked up again at the
+end. Anchors whose gram stands in one document only are done with. Of equal contexts only the one
 with the smallest id is compared further: every later one loses all its strings. The contexts that are left and
 differ around the same gram go to shards, whose suffix arrays come from induced sorting: suffixes are classified,
 leftmost-smaller substrings are sorted by inducing, named and ranked recursively, and the whole array is induced
@@ -31,16 +32,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 SPAN = 50
-GRAM = 16
+GRAM = 24
 REACH = SPAN - GRAM
-SHARD_CONTEXTS = 8_000
+SHARD_CONTEXTS = 24_000
 HOT = 4_000
-#: Bytes of a text that are looked at side by side; pieces overlap by a span, so that every string is seen whole.
-PIECE = 1 << 20
+#: Bytes of texts that are looked at side by side.
+PIECE = 1 << 17
 
 _g = np.random.default_rng(20)
 TABLE = _g.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLACES = _g.integers(1, 1 << 63, GRAM + 2 * REACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = _g.integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -58,37 +58,41 @@ def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, context hash, start, length) of each anchor of a text of SPAN bytes or more."""
-    n = len(raw)
-    found = []
-    for a in range(0, n - SPAN + 1, PIECE):
-        part = raw[a : min(n, a + PIECE + SPAN - 1)]
-        h = TABLE[part]
-        for k, step in enumerate(STEPS):
-            h = h[: -(1 << k)] * step + h[1 << k :]
-        h = _mixed(h)
-        least = _slid(h, REACH + 1, np.minimum)  # of each string
-        fill = np.zeros(REACH, dtype=np.uint64)
-        best = _slid(np.concatenate([fill, least, fill]), REACH + 1, np.maximum)  # of the strings over a gram
-        at = np.nonzero(best == h)[0]
-        found.append((h[at], at + a))
-    h = np.concatenate([x for x, _ in found])
-    p = np.concatenate([x for _, x in found])
-    p, first = np.unique(p, return_index=True)
-    h = h[first]
-    lo, hi = np.maximum(p - REACH, 0), np.minimum(p + GRAM + REACH, n)
-    c = (lo - p + REACH).astype(np.uint64) * np.uint64(1 << 20) + (hi - p).astype(np.uint64)
-    for k in range(GRAM + 2 * REACH):
-        q = p + (k - REACH)
-        inside = (q >= 0) & (q < n)
-        c += TABLE[raw[np.where(inside, q, 0)]] * PLACES[k] * inside
-    return h, _mixed(c), lo, hi - lo
+def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
+    """Anchors of texts: gram hash h, context hash c, number of the text, start lo and length n of the context."""
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if len(raw) < SPAN:
+        return {k: np.empty(0, dtype=t) for k, t in (("h", np.uint64), ("c", np.uint64), ("text", np.int64), ("lo", np.int64), ("n", np.int64))}
+    x = TABLE[raw]
+    for k, step in enumerate(STEPS):
+        eight = x if k == 3 else None if k < 3 else eight
+        x = x[: -(1 << k)] * step + x[1 << k :]
+    sixteen = x  # of 16 bytes, from those of 8
+    h = _mixed(sixteen[: len(raw) - GRAM + 1] * STEPS[0] + eight[16 : 16 + len(raw) - GRAM + 1])
+    least = _slid(h, REACH + 1, np.minimum)  # of each string
+    inside = np.zeros(len(raw) + 1, dtype=np.int64)  # strings that end within their text
+    good = lengths >= SPAN
+    np.add.at(inside, (ends - lengths)[good], 1)
+    np.add.at(inside, (ends - SPAN + 1)[good], -1)
+    least[np.cumsum(inside)[: len(least)] == 0] = 0
+    fill = np.zeros(REACH, dtype=np.uint64)
+    best = _slid(np.concatenate([fill, least, fill]), REACH + 1, np.maximum)  # of the strings over a gram
+    p = np.nonzero(best == h)[0]
+    text = np.searchsorted(ends, p, side="right")
+    first, end = (ends - lengths)[text], ends[text]
+    lo, hi = np.maximum(p - REACH, first), np.minimum(p + GRAM + REACH, end)
+    c = ((p - lo) * 256 + (hi - p)).astype(np.uint64)
+    for k in range(-(-(GRAM + 2 * REACH) // 16)):  # 16-byte hashes that cover the context between them
+        c = _mixed(c * STEPS[1] + sixteen[np.minimum(lo + 16 * k, hi - 16)])
+    return {"h": h[p], "c": c, "text": text, "lo": lo - first, "n": hi - lo}
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffix array of t, whose values are below k and whose last is the only 0, by induced sorting."""
     n = len(t)
+    t = t.astype(np.uint16)
     step = np.sign(np.diff(t.astype(np.int32)))
     far = np.where(step != 0, np.arange(n - 1), n - 1)
     far = np.minimum.accumulate(far[::-1])[::-1]
@@ -99,14 +103,17 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         """All suffixes, larger ones from the ordered leftmost-smaller ones, then smaller ones from the larger."""
 
         def deal(pos, queues, want):
-            prev = pos[pos > 0] - 1
-            prev = prev[small[prev] == want]
+            prev = pos - 1
+            prev = prev[(small[prev] == want) & (prev >= 0)]
+            if not len(prev):
+                return
             ch = t[prev]
-            turn = np.argsort(ch, kind="stable")
+            turn = ch.argsort(kind="stable")
             prev, ch = prev[turn], ch[turn]
-            cuts = np.nonzero(np.diff(ch))[0] + 1
-            for c, part in zip(ch[np.concatenate([[0], cuts])] if len(ch) else (), np.split(prev, cuts)):
-                queues[c].append(part)
+            cuts = (np.flatnonzero(ch[1:] != ch[:-1]) + 1).tolist()
+            names = ch[[0, *cuts]].tolist()
+            for c, a, b in zip(names, [0, *cuts], [*cuts, len(prev)]):
+                queues[c].append(prev[a:b])
 
         of = t[order]
         turn = np.argsort(of, kind="stable")
@@ -210,7 +217,7 @@ def _released(spark) -> None:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, th, spans): byte ranges (lo, hi) to remove, unmerged, for each document that loses some."""
+    """(id, th, spans): what `ranges` turns into byte ranges to remove, for each document that loses some."""
     spark = docs.sparkSession
     d = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     twice = d.groupBy("id").count().filter("count > 1").limit(1).count()
@@ -218,44 +225,47 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     def anchored(batches):
         for b in batches:
-            for i, th, s in zip(b["id"], b["th"], b["text"]):
-                raw = np.frombuffer(s.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                if len(raw) >= SPAN:
-                    h, c, lo, n = anchors(raw)
-                    yield pd.DataFrame({"h": h.view(np.int64), "c": c.view(np.int64), "id": i, "th": th, "at": lo * 128 + n})
-
-    def batched(batches, rows=1 << 16):
-        """Fewer, larger batches for the JVM."""
-        held, n = [], 0
-        for x in anchored(batches):
-            held.append(x)
-            n += len(x)
-            if n >= rows:
-                yield pd.concat(held)
-                held, n = [], 0
-        if held:
-            yield pd.concat(held)
-
-    a = d.mapInPandas(batched, "h long, c long, id long, th long, at long")
+            raws = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            ids, ths = b["id"].to_numpy(), b["th"].to_numpy()
+            at = 0
+            while at < len(raws):
+                end, held = at, 0
+                while end < len(raws) and (end == at or held < PIECE):
+                    held += len(raws[end])
+                    end += 1
+                found = anchors(raws[at:end])
+                if len(found["h"]):
+                    # a context that comes back in its text is one row, marked
+                    order = np.lexsort((found["lo"], found["c"], found["h"], found["text"]))
+                    h, c, t = found["h"][order], found["c"][order], found["text"][order]
+                    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1]))
+                    more = np.append(~new[1:], False)[new]
+                    pick = order[new]
+                    packed = ((found["lo"][pick] * 128 + found["n"][pick]) * 2 + more).astype(np.int64)
+                    of = at + found["text"][pick]
+                    yield pd.DataFrame({"h": found["h"][pick].view(np.int64), "c": found["c"][pick].view(np.int64), "id": ids[of], "th": ths[of], "at": packed})
+                at = end
+
+    a = d.mapInPandas(anchored, "h long, c long, id long, th long, at long")
     gram, context = W.partitionBy("h"), W.partitionBy("h", "c")
     a = a.withColumn("first", F.min("id").over(context)).withColumn("low", F.min("id").over(gram)).withColumn("high", F.max("id").over(gram))
     a = a.filter("low < high").withColumn("own", F.sum(F.when(F.col("id") == F.col("first"), 1).otherwise(0)).over(gram)).withColumn("last", F.max("first").over(gram))
-    a = written(a.select("h", "id", "th", "at", (F.col("id") > F.col("first")).alias("whole"), (F.col("low") < F.col("last")).alias("mixed"), (F.col("own") > HOT).alias("hot")), "anchors")
+    a = written(a.select("h", "c", "id", "th", F.shiftright("at", 8).alias("lo"), F.shiftright("at", 1).bitwiseAND(127).alias("n"), (F.col("at").bitwiseAND(1) == 1).alias("more"), (F.col("id") > F.col("first")).alias("whole"), (F.col("low") < F.col("last")).alias("mixed"), (F.col("own") > HOT).alias("hot")), "anchors")
     _released(spark)
 
     reps = a.filter("mixed and not whole")
-    by_doc = reps.groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_list(F.struct("h", "at", "hot")).alias("cuts"))
+    by_doc = reps.groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_list(F.struct("h", "c", "lo", "n", "more", "hot")).alias("cuts"))
 
     def cut(batches):
         for b in batches:
             rows = []
             for i, th, s, cuts in zip(b["id"], b["th"], b["text"], b["cuts"]):
                 raw = s.encode("utf-8", "surrogatepass")
-                rows += [(x["h"], i, th, x["at"] >> 7, raw[x["at"] >> 7 : (x["at"] >> 7) + (x["at"] & 127)], x["hot"]) for x in cuts]
-            yield pd.DataFrame(rows, columns=["h", "id", "th", "lo", "part", "hot"])
+                rows += [(x["h"], x["c"], i, th, x["lo"], raw[x["lo"] : x["lo"] + x["n"]], x["more"], x["hot"]) for x in cuts]
+            yield pd.DataFrame(rows, columns=["h", "c", "id", "th", "lo", "part", "more", "hot"])
 
     parts = d.join(by_doc.hint("merge"), (d["id"] == by_doc["i"]) & (d["th"] == by_doc["x"])).select("id", "th", "text", "cuts")
-    parts = written(parts.mapInPandas(cut, "h long, id long, th long, lo long, part binary, hot boolean"), "contexts")
+    parts = written(parts.mapInPandas(cut, "h long, c long, id long, th long, lo long, part binary, more boolean, hot boolean"), "contexts")
     _released(spark)
 
     def shard(batches):
@@ -263,18 +273,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         if not len(b):
             return
         hits = repeated_strings([bytes(x) for x in b["part"]], b["id"].to_numpy())
-        rows = [(i, th, lo + s, lo + e) for i, th, lo, x in zip(b["id"], b["th"], b["lo"], hits) for s, e in _runs(x)]
-        yield pd.DataFrame(rows, columns=["id", "th", "lo", "hi"])
+        rows = [(*r, s, e) for *r, x in zip(b["id"], b["th"], b["h"], b["c"], b["lo"], b["more"], hits) for s, e in _runs(x)]
+        yield pd.DataFrame(rows, columns=["id", "th", "h", "c", "lo", "more", "a", "b"])
 
-    schema = "id long, th long, lo long, hi long"
+    of = ["id", "th", "h", "c", "lo", "more"]
+    schema = "id long, th long, h long, c long, lo long, more boolean, a long, b long"
     shards = max(1, -(-parts.count() // SHARD_CONTEXTS))
     cold = parts.filter("not hot").drop("hot").repartition(shards, "h").mapInPandas(shard, schema)
-    strings = parts.filter("hot").select("id", "th", "lo", F.posexplode(F.expr(f"transform(sequence(0, length(part) - {SPAN}), o -> substring(part, o + 1, {SPAN}))")).alias("o", "s"))
+    strings = parts.filter("hot").select(*of, F.posexplode(F.expr(f"transform(sequence(0, length(part) - {SPAN}), o -> substring(part, o + 1, {SPAN}))")).alias("o", "s"))
     firsts = strings.groupBy("s").agg(F.min("id").alias("first"))
-    hot = strings.join(firsts, "s").filter("first < id").select("id", "th", (F.col("lo") + F.col("o")).alias("lo"), (F.col("lo") + F.col("o") + SPAN).alias("hi"))
-    whole = a.filter("whole").select("id", "th", F.shiftright("at", 7).alias("lo"), (F.shiftright("at", 7) + F.col("at").bitwiseAND(127)).alias("hi"))
+    hot = strings.join(firsts, "s").filter("first < id").select(*of, F.col("o").cast("long").alias("a"), (F.col("o") + SPAN).cast("long").alias("b"))
+    whole = a.filter("whole").select(*of, F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
     every = whole.unionByName(cold).unionByName(hot)
-    return every.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # Hashes only matter where a context stands at several places; no field is null, so that none turns into a float.
+    mark = lambda c: F.when(F.col("more"), F.col(c)).otherwise(0)
+    span = F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"), "more", mark("h").alias("h"), mark("c").alias("c"), "a", "b")
+    return every.groupBy("id", "th").agg(F.collect_list(span).alias("spans"))
+
+
+def ranges(raw: bytes, spans) -> list[tuple[int, int]]:
+    """Byte ranges of the spans of one text; marked ones at every place where their context stands."""
+    out = [(x["lo"], x["hi"]) for x in spans]
+    again: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x in spans:
+        if x["more"]:
+            again.setdefault((x["h"], x["c"]), []).append((x["a"], x["b"]))
+    if again:
+        found = anchors([raw])
+        for h, c, lo in zip(found["h"].view(np.int64).tolist(), found["c"].view(np.int64).tolist(), found["lo"].tolist()):
+            out += [(lo + a, lo + b) for a, b in again.get((h, c), ())]
+    return out
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -304,7 +332,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep_byte
             rows = []
             for i, s, spans in zip(b["id"], b["text"], b["spans"]):
                 raw = s.encode("utf-8", "surrogatepass") if isinstance(s, str) else b""
-                cuts = merged((x["lo"], x["hi"]) for x in spans) if spans is not None else []
+                cuts = merged(ranges(raw, spans)) if spans is not None else []
                 kept, at = [], 0
                 for lo, hi in cuts:
                     kept.append(raw[at:lo])
