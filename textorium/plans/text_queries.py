@@ -152,7 +152,7 @@ def b24_relevance_partition(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(route, "annotate").otherwise("zero").alias("route"))
 
 
-@query("""select count(*) as total, count_if(n_chars > 1500) as passed, count_if(not (n_chars > 1500)) as failed, round(100.0 * count_if(n_chars > 1500) / count(*), 6) as success from documents""")
+@query("""select count(*) as total, cast(count_if(n_chars > 1500) as bigint) as passed, cast(count_if(not (n_chars > 1500)) as bigint) as failed, round(100.0 * count_if(n_chars > 1500) / count(*), 6) as success from documents""")
 def b25_d09_pipeline_counts(spark, d):
     return rounded(filters.counts(filters.split(table(spark, d, "documents"), F.col("n_chars") > 1500)), "success")
 
