@@ -31,8 +31,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
     for b in range(max(1, -(-n // BLOCK))):
         rows = queries.filter(key == b).select(query_id, vector).collect()  # a block of the stated query set
         ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        length = np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
+        q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
+        length = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.divide(q, length, out=np.full_like(q, np.nan), where=length > 0)
         held = spark.sparkContext.broadcast((ids, q))
 
