@@ -32,6 +32,8 @@ from .common import written
 BITS = 64
 #: Rows of a block of pairs that are compared at once.
 FEW = 256
+#: Rows that a task deals to the tables' buckets.
+DEALT = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -124,6 +126,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links that span every group of the distinct fingerprints `fp` within the radius of one another."""
     masks = covering_masks(radius)
     tables = F.array(*(F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)))
+    # The distinct fingerprints are a small file that a few tasks would read whole, and each makes a row per table.
+    fps = fps.select("fp").repartition(-(-max(1, fps.count()) * len(masks) // DEALT), "fp")
     buckets = fps.select("fp", F.explode(tables).alias("t")).groupBy("t.v", "t.key").agg(F.collect_list("fp").alias("fps"))
 
     def run(batches):
