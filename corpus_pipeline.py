@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textorium.llm import decontamination, language_id, line_dedup, mixing, simhash
+from textorium.llm import decontamination, language_id, line_dedup, mixing, near_texts
 from textorium.llm.common import table, written
 
 #: A document whose best language has less than this pooled probability isn't in one language.
 LEAST_SCORE = 0.5
-#: Near copies at 0.8 of their five-word shingles differ in a few fingerprint bits more than exact ones' rewrites.
-RADIUS = 6
+#: Near copies have so many hundredths of their shingles, of so many words, in common (Jaccard).
+SIMILAR, SHINGLE = 80, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return simhash.keep_one(docs, radius=RADIUS).select(docs.columns)
+    return near_texts.keep_one(docs, shingle=SHINGLE, similar=SIMILAR).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,7 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs, with all their columns, that have their group's smallest id (null last, then text hash)."""
-    g = written(groups(docs, id_col, text, shingle, radius).select("id", "th", "root"), "groups")
+    return keep_least(docs, groups(docs, id_col, text, shingle, radius), id_col, text)
+
+
+def keep_least(docs: DataFrame, grouped: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of docs that have the smallest id of their root in grouped (id, th, root)."""
+    g = written(grouped.select("id", "th", "root"), "groups")
     best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k"))
     best = written(best.select(F.col("k.id").alias("_own_id"), F.col("k.th").alias("_own_th")), "kept")
     d = docs.withColumn("_own_h", F.xxhash64(text))
