@@ -27,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated chunks of lines; documents of which no word is left go."""
-    cut = line_dedup.dedup(docs)
+    """Cuts repeated passages of lines; documents of which no word is left go."""
+    cut = line_dedup.dedup(docs, whole=True)
     left = (F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 

@@ -31,7 +31,7 @@ def op5_recursive_secrets(spark, d):
 
 
 def op6_line_chunk_dedup(spark, d):
-    out = line_dedup.dedup(table(spark, d, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup(table(spark, d, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed_lines"), "text")
 
 
