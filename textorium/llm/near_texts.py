@@ -29,12 +29,16 @@ SIMILAR = 80
 OFTEN, MOST_LATE = 3, 1 << 19
 #: Pairs in a batch of output.
 PAIRS = 1 << 16
+#: Slots by which texts that are no candidates are left out before their sets are dealt; the join decides.
+SLOTS = 1 << 22
 
 
-def grams(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray]:
-    """(hash of the words, sorted distinct hashes of the shingles)."""
+def grams(text: str | None, shingle: int = 5, wanted: np.ndarray | None = None) -> tuple[int, np.ndarray]:
+    """(hash of the words, sorted distinct hashes of the shingles), none of them for a text outside the wanted slots."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     own = xxhash.xxh64_intdigest(b" ".join(w), 42)
+    if wanted is not None and not wanted[own % len(wanted)]:
+        return own, np.array([], dtype=np.uint64)
     if len(w) <= shingle:
         return own, np.array([own] if w else [], dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
@@ -46,12 +50,16 @@ def grams(text: str | None, shingle: int = 5) -> tuple[int, np.ndarray]:
     return own, np.unique(out)
 
 
-def sets(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """(id, th, t, grams), a row per row of docs; th tells texts apart, t their words; no shuffle."""
+def sets(docs: DataFrame, id_col: str, text: str, shingle: int, slots: np.ndarray | None = None) -> DataFrame:
+    """(id, th, t, grams), a row per row of docs; th tells texts apart, t their words; no shuffle.
+
+    Sets are larger than texts, so each pass makes its own and none is written; with slots, only the wanted texts have theirs.
+    """
+    wanted = None if slots is None else docs.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches):
         for b in batches:
-            got = [grams(t, shingle) for t in b["text"]]
+            got = [grams(t, shingle, wanted and wanted.value) for t in b["text"]]
             t = np.array([x[0] for x in got], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": b["id"], "th": b["th"], "t": t, "grams": [x[1].view(np.int64) for x in got]})
 
@@ -111,8 +119,9 @@ def candidates(groups: DataFrame, low: int, similar: int) -> DataFrame:
     return p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def links(s: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def links(docs: DataFrame, id_col: str, text: str, shingle: int, similar: int = SIMILAR) -> DataFrame:
     """(a, b): each text (t) that isn't its component's smallest, with the smallest."""
+    s = sets(docs, id_col, text, shingle)
     late, times = common(s)
     shared = s.sparkSession.sparkContext.broadcast((late, times))
 
@@ -131,7 +140,11 @@ def links(s: DataFrame, similar: int = SIMILAR) -> DataFrame:
     p = p.select("g", F.array_sort("m").alias("m")).groupBy("m").agg(F.min("g").alias("g"))
     groups = written(p, "shingle-texts")
     members = groups.select("g", F.explode("m").alias("x")).select("g", "x.n", "x.t")
-    own = written(s.join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("grams").alias("grams")), "candidate-sets")
+    nodes = written(members.select("t").distinct(), "candidate-texts")
+    slots = np.zeros(SLOTS, dtype=bool)
+    slots[nodes.select(F.col("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("k")).distinct().toPandas()["k"].to_numpy(dtype=np.int64)] = True
+    few = sets(docs, id_col, text, shingle, slots).filter(F.size("grams") > 0).select("t", "grams")
+    own = written(few.join(nodes, "t", "left_semi").groupBy("t").agg(F.first("grams").alias("grams")), "candidate-sets")
     most = groups.agg(F.max(F.size("m"))).first()[0] or 0
 
     stars, low = None, 1
@@ -155,8 +168,8 @@ def links(s: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
     """(id, th, root), a row per row of docs: root is the same for all that links of similar texts reach."""
-    s = written(sets(docs, id_col, text, shingle), "shingles")
-    e = links(s, similar).toDF("t", "root")
+    s = written(sets(docs, id_col, text, shingle, np.zeros(1, dtype=bool)).select("id", "th", "t"), "texts")
+    e = links(docs, id_col, text, shingle, similar).toDF("t", "root")
     return s.select("id", "th", "t").join(e, "t", "left").select("id", "th", F.coalesce("root", "t").alias("root"))
 
 
