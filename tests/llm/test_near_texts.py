@@ -1,4 +1,4 @@
-"""The pipeline's near copies against all pairs."""
+"""The pipeline's near copies against all pairs: no false merge, every pair within the covered radius, recall of the rest."""
 
 from __future__ import annotations
 
@@ -54,13 +54,43 @@ def test_near_copies_all_pairs(spark):
     assert sum(len(s[i] & s[j]) / max(1, len(s[i] | s[j])) < 0.85 for i, j in linked) > 100
     for i, j in linked:
         root[top(i)] = top(j)
-    least = {}
+    d = table(spark, rows)
+    own = {r.id: r.root for r in near_texts.groups(d).collect()}
+    of = [own[r[0]] for r in rows]
+    # no false merge: what ours joins is joined by links of similar texts
+    exact = {}
     for i in range(len(t)):
-        least[top(i)] = min(least.get(top(i), len(t)), rows[i][0])
-    got = corpus_pipeline.near_copies(spark, table(spark, rows), "").select("doc_id").collect()
+        exact.setdefault(of[i], set()).add(top(i))
+    assert all(len(x) == 1 for x in exact.values())
+    # every similar pair within the covered radius of one fingerprint is joined, and nearly all others are
+    f = [near_texts.prints(x) for x in t]
+    within = [(i, j) for i, j in linked if min((x ^ y).bit_count() for x, y in zip(f[i], f[j])) <= near_texts.RADIUS and sum((x ^ y).bit_count() for x, y in zip(f[i], f[j])) <= near_texts.FAR]
+    assert len(within) > 1000 and all(of[i] == of[j] for i, j in within)
+    assert sum(of[i] == of[j] for i, j in linked) >= 0.98 * len(linked)
+    # one document of each group stays: the least id
+    least = {}
+    for x, r in zip(of, rows):
+        least[x] = min(least.get(x, len(t)), r[0])
+    got = corpus_pipeline.near_copies(spark, d, "").select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(least.values())
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Blocks of two members find the same groups as whole buckets."""
+    t = texts()[:200]
+    d = table(spark, [(i, x, "en", "s") for i, x in enumerate(t)])
+
+    def groups():
+        by = {}
+        for r in near_texts.groups(d).collect():
+            by.setdefault(r.root, set()).add(r.id)
+        return sorted(map(sorted, by.values()))
+
+    want = groups()
+    monkeypatch.setattr(near_texts, "BLOCK", 2)
+    assert groups() == want
+
+
 def test_near_copies_empty(spark):
     d = table(spark, [(1, "a b", "en", "s")])
     assert near_texts.keep_one(d.filter("false")).count() == 0

@@ -1,15 +1,20 @@
-"""Near copies by the similarity of their five-word shingles, for the pipeline: every pair of 0.8 or more, and no other.
+"""Near copies by five-word shingles for the pipeline: covering SimHash finds candidates, exact Jaccard decides.
 
-A set join by prefixes. Shingles have one order over all documents, those seen often last; of two sets of similarity
-s or more each shares a part of s with the other, so one of the first n - ceil(s n) + 1 shingles of the one is
-among those of the other: no pair is missed. Texts that share such a shingle are candidates; their Jaccard similarity is
-taken from the whole sets, and only pairs that have it are linked.
+Each text has PRINTS fingerprints of POSITIONS bits, majorities over the hashes of its distinct words: a changed word changes
+one feature there, but five shingles, so that texts of Jaccard 0.8 mostly differ in a few bits only. Covering masks
+of RADIUS (operator 9) make every pair within the radius, in any of the fingerprints, meet in some bucket, and most
+pairs a few bits beyond it: the guarantee is one of bits, and recall at a Jaccard of 0.8 is measured, not proven. Pairs of a bucket
+that differ in at most FAR bits of all fingerprints and whose sizes allow the similarity are held against their
+whole sets of shingles; only pairs of `similar` hundredths or more are linked.
 
-A shingle's texts, by size of set, are compared at distances 1, 2 to 3, 4 to 7 and so on, pairs that links already
-join left out: a large group of near copies is joined in the first rounds, and its components are those of all pairs.
+A bucket's pairs are never all made. First every member is held against the bucket's pivot, which joins most of a
+large group through counts and joins on keys alone. What is left are buckets whose members are not yet in one
+component: there, members outside the largest component are held against all others, block by block, so
+that no task holds more than two blocks however large the bucket is.
 
 Cases: words as in operator 9; a text of fewer words than a shingle is one shingle, a null or empty one is a
-copy of the others without words; texts of the same words are one before anything is compared.
+copy of the others without words; texts of the same words are one before anything is compared; a null id comes after
+all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,156 +26,162 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .simhash import components, keep_least
+from .simhash import components, covering_masks, keep_least
 
 #: Similarity in hundredths.
 SIMILAR = 80
-#: A batch's shingles seen as often are counted, and of these so many are put last. Order alone depends on both.
-OFTEN, MOST_LATE = 3, 1 << 19
-#: Pairs in a batch of output.
-PAIRS = 1 << 16
-#: Slots by which texts that are no candidates are left out before their sets are dealt; the join decides.
-SLOTS = 1 << 22
-
-
-def grams(text: str | None, shingle: int = 5, wanted: np.ndarray | None = None) -> tuple[int, np.ndarray]:
-    """(hash of the words, sorted distinct hashes of the shingles), none of them for a text outside the wanted slots."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    own = xxhash.xxh64_intdigest(b" ".join(w), 42)
-    if wanted is not None and not wanted[own % len(wanted)]:
-        return own, np.array([], dtype=np.uint64)
+#: Radius that the masks cover in each of the fingerprints, their number and bits, and the most bits of all of them that a candidate pair differs in.
+RADIUS, PRINTS, POSITIONS, FAR = 5, 3, 56, 40
+#: Members of a block.
+BLOCK = 512
+#: Rows that a task deals to the tables' buckets.
+DEALT = 1 << 20
+SALT = 0x5BD1E995A3C59AC3 >> 1
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def grams(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    w = _words(text)
     if len(w) <= shingle:
-        return own, np.array([own] if w else [], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)] if w else [], dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), dtype=np.uint64, count=len(w))
     n = len(h) - shingle + 1
     out = np.zeros(n, dtype=np.uint64)
     for i in range(shingle):
-        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[i : i + n]) * MIX
         out ^= out >> np.uint64(29)
-    return own, np.unique(out)
+    return np.unique(out)
 
 
-def sets(docs: DataFrame, id_col: str, text: str, shingle: int, slots: np.ndarray | None = None) -> DataFrame:
-    """(id, th, t, grams), a row per row of docs; th tells texts apart, t their words; no shuffle.
+def prints(text: str | None) -> list[int]:
+    """The fingerprints of the distinct words, as signed numbers; zeros for a text without words."""
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in set(_words(text))], dtype=np.uint64)
+    out = []
+    for _ in range(PRINTS):
+        on = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) * 2 > len(h)
+        on[POSITIONS:] = False
+        out.append(int(np.packbits(on, bitorder="little").view("<i8")[0]))
+        h = (h ^ (h >> np.uint64(31))) * MIX
+        h ^= h >> np.uint64(29)
+    return out
 
-    Sets are larger than texts, so each pass makes its own and none is written; with slots, only the wanted texts have theirs.
-    """
-    wanted = None if slots is None else docs.sparkSession.sparkContext.broadcast(slots)
+
+def described(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """(id, th, t, n, f), a row per row of docs; th tells texts apart, t their words; n: distinct shingles; f: fingerprints. No shuffle."""
 
     def run(batches):
         for b in batches:
-            got = [grams(t, shingle, wanted and wanted.value) for t in b["text"]]
-            t = np.array([x[0] for x in got], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": b["id"], "th": b["th"], "t": t, "grams": [x[1].view(np.int64) for x in got]})
+            t = [xxhash.xxh64_intdigest(b" ".join(_words(x)), 42) for x in b["text"]]
+            yield pd.DataFrame({
+                "id": b["id"], "th": b["th"], "t": np.array(t, dtype=np.uint64).view(np.int64),
+                "n": np.array([len(grams(x, shingle)) for x in b["text"]], dtype=np.int64), "f": [prints(x) for x in b["text"]],
+            })
 
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return d.mapInPandas(run, f"id {kind}, th long, t long, grams array<long>")
+    return d.mapInPandas(run, f"id {kind}, th long, t long, n long, f array<long>")
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, t, pivot): the members of all buckets of two texts or more, with a member that stands for the bucket."""
+    masks = [m % (1 << POSITIONS) for m in covering_masks(RADIUS)]
+    keys = F.array(*(F.xxhash64(F.lit(p * len(masks) + v), F.col("f")[p].bitwiseAND(F.lit(m))) for p in range(PRINTS) for v, m in enumerate(masks)))
+    # The texts are small files that a few tasks would read whole, and each makes a row per table.
+    texts = texts.select("t", "f").repartition(-(-max(1, texts.count()) * PRINTS * len(masks) // DEALT), "t")
+    rows = texts.select("t", F.explode(keys).alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(F.col("t").bitwiseXOR(F.lit(SALT))).alias("p")).filter("times > 1")
+    return rows.join(many.hint("merge"), "key").select("key", "t", F.col("p").bitwiseXOR(F.lit(SALT)).alias("pivot"))
+
+
+def allowed(a, b, similar: int):
+    """Whether two texts (n, f) may be similar by size and fingerprints."""
+    far = sum((F.bit_count(a["f"][p].bitwiseXOR(b["f"][p])) for p in range(PRINTS)), F.lit(0))
+    return (far <= FAR) & (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * similar)
+
+
+def rest(members: DataFrame, texts: DataFrame, stars: DataFrame, similar: int) -> DataFrame:
+    """(a, b), distinct: candidate pairs of each bucket's texts that aren't in one component yet."""
+    of = texts.join(stars.toDF("t", "root"), "t", "left").select("t", "n", "f", F.coalesce("root", "t").alias("root"))
+    m = members.select("key", "t").join(of, "t")
+    by_root = m.groupBy("key", "root").agg(F.count("*").alias("k"))
+    b = by_root.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    b = b.select("key", F.col("top.root").alias("top"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("top.k")).alias("of_few"))
+    m = m.join(b.hint("merge"), "key")
+    place = lambda k: F.pmod(F.xxhash64("t", "key"), k).cast("int")
+    each = lambda k: F.sequence(F.lit(0), k - 1)
+    at = lambda few, every, side: F.struct(few.alias("few"), every.alias("every"), F.lit(side).alias("side"))
+    every = F.transform(each(F.col("of_few")), lambda i: at(i, place(F.col("of_all")), False))
+    few = F.when(F.col("root") != F.col("top"), F.transform(each(F.col("of_all")), lambda i: at(place(F.col("of_few")), i, True)))
+    dealt = m.select("key", "t", "n", "f", "root", F.explode(F.concat(every, F.coalesce(few, F.array()))).alias("at"))
+    # Each group holds the members of two blocks.
+    groups = dealt.groupBy("key", "at.few", "at.every").agg(F.collect_list(F.struct("at.side", "t", "n", "root", "f")).alias("m"))
 
-
-def common(s: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) that stand often, by shingle: MOST_LATE at most, whatever the size of the corpus."""
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for m in batch["m"]:
+                side = np.array([x["side"] for x in m], dtype=bool)
+                t, n, root = (np.array([x[c] for x in m], dtype=np.int64) for c in ("t", "n", "root"))
+                f = np.array([x["f"] for x in m], dtype=np.int64)
+                i, j = np.nonzero(root[side][:, None] != root[~side][None, :])
+                x, y = np.flatnonzero(side)[i], np.flatnonzero(~side)[j]
+                ok = np.bitwise_count(f[x] ^ f[y]).sum(axis=1) <= FAR
+                ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * similar
+                a.append(np.maximum(t[x], t[y])[ok])
+                b.append(np.minimum(t[x], t[y])[ok])
+            pairs = pd.DataFrame({"a": np.concatenate([*a, np.array([], dtype=np.int64)]), "b": np.concatenate([*b, np.array([], dtype=np.int64)])})
+            yield pairs.drop_duplicates()
+
+    return groups.select("m").mapInPandas(run, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, described_docs: DataFrame, wanted: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
+    """(t, grams): the sets of the wanted texts t, each made from one of its documents."""
 
     def run(batches):
         for b in batches:
-            if len(b):
-                g, n = np.unique(np.concatenate(b["grams"].to_list()), return_counts=True)
-                yield pd.DataFrame({"g": g[n >= OFTEN], "n": n[n >= OFTEN]})
-
-    c = s.select("grams").mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    c = c.orderBy(F.desc("n"), "g").limit(MOST_LATE).toPandas().sort_values("g")
-    return c["g"].to_numpy(dtype=np.int64), c["n"].to_numpy(dtype=np.int64)
-
-
-def prefix(g: np.ndarray, late: np.ndarray, times: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """The shingles of a set of which one is in the prefix of any set that is as similar."""
-    k = len(g) - -(-len(g) * similar // 100) + 1 if len(g) else 0
-    n = np.zeros(len(g), dtype=np.int64)
-    if len(late) and len(g):
-        at = np.minimum(np.searchsorted(late, g), len(late) - 1)
-        n = np.where(late[at] == g, times[at], 0)
-    return g[np.lexsort((g, n))[:k]]
+            yield pd.DataFrame({"t": b["t"], "grams": [grams(x, shingle).view(np.int64) for x in b["text"]]})
 
+    own = described_docs.select("id", "th", "t").join(wanted, "t", "left_semi")
+    own = own.groupBy("t").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k")).select("t", F.col("k.id").alias("i"), F.col("k.th").alias("h"))
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    d = d.join(own.hint("merge"), d["id"].eqNullSafe(own["i"]) & (d["th"] == own["h"])).select("t", "text")
+    return d.mapInPandas(run, "t long, grams array<long>").dropDuplicates(["t"])
 
-def pairs_at(n: np.ndarray, t: np.ndarray, root: np.ndarray, low: int, similar: int = SIMILAR):
-    """(a, b) of texts sorted by size n, low to 2 low - 1 places apart, whose sizes allow the similarity and that aren't joined."""
-    for o in range(low, min(2 * low, len(t))):
-        ok = (root[o:] != root[:-o]) & (n[o:] * similar <= n[:-o] * 100)
-        if ok.any():
-            yield t[:-o][ok], t[o:][ok]
-
-
-def candidates(groups: DataFrame, low: int, similar: int) -> DataFrame:
-    """(a, b): the pairs of `pairs_at` of all groups (m: array of n, t, root)."""
-
-    def run(batches):
-        a, b, held = [], [], 0
-        for batch in batches:
-            for n, t, root in zip(batch["n"], batch["t"], batch["root"]):
-                for x, y in pairs_at(n, t, root, low, similar):
-                    a, b, held = a + [x], b + [y], held + len(x)
-                    if held > PAIRS:
-                        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-                        a, b, held = [], [], 0
-        if held:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    p = groups.select("m.n", "m.t", "m.root").mapInPandas(run, "a long, b long")
-    return p.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): the pairs whose sets have the similarity."""
+    j = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return j.filter(both * 100 >= (F.size("ga") + F.size("gb") - both) * similar).select("a", "b")
 
 
-def links(docs: DataFrame, id_col: str, text: str, shingle: int, similar: int = SIMILAR) -> DataFrame:
+def links(docs: DataFrame, d: DataFrame, id_col: str, text: str, shingle: int, similar: int = SIMILAR) -> DataFrame:
     """(a, b): each text (t) that isn't its component's smallest, with the smallest."""
-    s = sets(docs, id_col, text, shingle)
-    late, times = common(s)
-    shared = s.sparkSession.sparkContext.broadcast((late, times))
-
-    def run(batches):
-        for b in batches:
-            got = [prefix(g, *shared.value, similar) for g in b["grams"]]
-            k = [len(x) for x in got]
-            yield pd.DataFrame({
-                "g": np.concatenate([*got, np.array([], dtype=np.int64)]), "t": np.repeat(b["t"].to_numpy(), k),
-                "n": np.repeat(np.array([len(g) for g in b["grams"]], dtype=np.int32), k),
-            })
-
-    p = s.select("t", "grams").mapInPandas(run, "g long, t long, n int")
-    p = p.groupBy("g").agg(F.collect_set(F.struct("n", "t")).alias("m")).filter(F.size("m") > 1)
-    # Near copies share many shingles: lists of the same texts are one.
-    p = p.select("g", F.array_sort("m").alias("m")).groupBy("m").agg(F.min("g").alias("g"))
-    groups = written(p, "shingle-texts")
-    members = groups.select("g", F.explode("m").alias("x")).select("g", "x.n", "x.t")
-    nodes = written(members.select("t").distinct(), "candidate-texts")
-    slots = np.zeros(SLOTS, dtype=bool)
-    slots[nodes.select(F.col("t").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("k")).distinct().toPandas()["k"].to_numpy(dtype=np.int64)] = True
-    few = sets(docs, id_col, text, shingle, slots).filter(F.size("grams") > 0).select("t", "grams")
-    own = written(few.join(nodes, "t", "left_semi").groupBy("t").agg(F.first("grams").alias("grams")), "candidate-sets")
-    most = groups.agg(F.max(F.size("m"))).first()[0] or 0
-
-    stars, low = None, 1
-    while low < most:
-        large = groups.filter(F.size("m") > low)
-        if stars is None:
-            large = large.select(F.transform("m", lambda x: F.struct(x.n.alias("n"), x.t.alias("t"), x.t.alias("root"))).alias("m"))
-        else:
-            x = large.select("g", F.explode("m").alias("x")).select("g", "x.n", "x.t").join(stars.toDF("t", "root"), "t", "left")
-            large = x.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "t", F.coalesce("root", "t").alias("root")))).alias("m"))
-            large = large.filter(F.size(F.array_distinct("m.root")) > 1)
-        pairs = written(candidates(large, low, similar), "shingle-pairs")
-        j = pairs.join(own.toDF("a", "ga"), "a").join(own.toDF("b", "gb"), "b")
-        both = F.size(F.array_intersect("ga", "gb"))
-        found = j.filter(both * 100 >= (F.size("ga") + F.size("gb") - both) * similar).select("a", "b")
-        stars = components(found if stars is None else found.union(stars))
-        low *= 2
-    shared.unpersist()
-    return stars if stars is not None else s.sparkSession.createDataFrame([], "a long, b long")
+    texts = written(d.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f")), "texts")
+    members = written(buckets(texts), "bucket-members")
+    sets = written(shingle_sets(docs, d, members.select("t").distinct(), id_col, text, shingle), "shingle-sets")
+    x, y = texts.alias("x"), texts.alias("y")
+    pairs = members.filter("t <> pivot").select(F.greatest("t", "pivot").alias("a"), F.least("t", "pivot").alias("b")).distinct()
+    pairs = pairs.join(x, F.col("a") == F.col("x.t")).join(y, F.col("b") == F.col("y.t"))
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "f")}
+    pairs = pairs.filter(allowed(side("x"), side("y"), similar)).select("a", "b")
+    stars = components(similar_pairs(pairs, sets, similar))
+    more = similar_pairs(rest(members, texts, stars, similar), sets, similar)
+    return components(more.union(stars))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
     """(id, th, root), a row per row of docs: root is the same for all that links of similar texts reach."""
-    s = written(sets(docs, id_col, text, shingle, np.zeros(1, dtype=bool)).select("id", "th", "t"), "texts")
-    e = links(docs, id_col, text, shingle, similar).toDF("t", "root")
-    return s.select("id", "th", "t").join(e, "t", "left").select("id", "th", F.coalesce("root", "t").alias("root"))
+    d = written(described(docs, id_col, text, shingle), "described")
+    e = links(docs, d, id_col, text, shingle, similar).toDF("t", "root")
+    return d.select("id", "th", "t").join(e, "t", "left").select("id", "th", F.coalesce("root", "t").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
