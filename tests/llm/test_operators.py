@@ -340,9 +340,9 @@ def plain_removal(rows, span=suffix_dedup.SPAN):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [4000, 2])
-def test_suffix_dedup(spark, rows, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("large", [suffix_dedup.LARGE, 5, 1, 0])
+def test_suffix_dedup(spark, rows, large, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
     passage = prose(800, 12)
     many = [(2000 + k, f"{prose(3000 + k, 12)} {passage} {prose(4000 + k, 12)}", "en", "s") for k in range(12)]
     edges = [(2100, "x" * 49, "en", "s"), (2101, "x" * 50, "en", "s"), (2102, "x" * 51, "en", "s"), (2103, "y" + "x" * 400 + "z", "en", "s"), (53, "again " * 60, "en", "s"), (54, "again " * 60, "en", "s")]
@@ -351,6 +351,12 @@ def test_suffix_dedup(spark, rows, hot, monkeypatch):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_removal([r[:2] for r in all_rows])
 
 
+def test_suffix_dedup_ids_of_strings(spark):
+    rows = [("b", prose(1, 30)), ("a", prose(2, 9) + prose(1, 30)), ("ä", prose(1, 30)), (None, prose(1, 30))]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_removal(rows)
+
+
 def test_network_gradient():
     net = language_id.Network(["a", "b", "c"], 4, 1)
     g = np.random.default_rng(0)

@@ -7,14 +7,15 @@ can reach, 76 bytes; one that comes back within its document is one row, and its
 end. Anchors whose gram stands in one document only are done with. Of equal contexts only the one
 with the smallest id is compared further: every later one loses all its strings. The contexts that are left and
 differ around the same gram go to shards, whose suffix arrays come from induced sorting: suffixes are classified,
-leftmost-smaller substrings are sorted by inducing, named and ranked recursively, and the whole array is induced
+leftmost-smaller substrings are sorted by inducing and named, names that recur are ranked by doubling, and the whole array is induced
 from them, all bucket by bucket in numpy; common prefixes are computed in text order against each suffix's
 predecessor. Suffixes with 50 bytes or more in common form a run, and a run's smallest id decides.
 
-A gram that stands in more than HOT different contexts would make one shard; there, strings are counted by their
-bytes, which partial sums collapse before the shuffle.
+A key with more than LARGE different contexts is split into further shards: the strings around its gram are told apart by
+where the gram stands in them, in ranges of 9, then 3, then 1 places, and a range's key is what all its strings
+share, 42, 48 and at last all 50 bytes. Equal pieces become one again, by their bytes, before a key is looked at.
 
-Cases: null text is empty; null ids neither lose bytes nor make others lose any; rows with the same id don't
+Cases: null text is empty; null ids neither lose bytes nor make others lose any; ids of any ordered type do; rows with the same id don't
 affect each other; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,9 @@ SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM
 SHARD_CONTEXTS = 24_000
-HOT = 4_000
+LARGE = 1_000
+#: Places of the gram in a string that share a key, level by level.
+WIDTHS = (9, 3, 1)
 #: Bytes of texts that are looked at side by side.
 PIECE = 1 << 17
 
@@ -59,12 +63,12 @@ def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Anchors of texts: gram hash h, context hash c, number of the text, start lo and length n of the context."""
+    """Anchors of texts: gram hash h, context hash c, number of the text, start lo and length n of the context, pre: bytes of it before the gram."""
     lengths = np.array([len(x) for x in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     if len(raw) < SPAN:
-        return {k: np.empty(0, dtype=t) for k, t in (("h", np.uint64), ("c", np.uint64), ("text", np.int64), ("lo", np.int64), ("n", np.int64))}
+        return {k: np.empty(0, dtype=t) for k, t in (("h", np.uint64), ("c", np.uint64), ("text", np.int64), ("lo", np.int64), ("n", np.int64), ("pre", np.int64))}
     x = TABLE[raw]
     for k, step in enumerate(STEPS):
         eight = x if k == 3 else None if k < 3 else eight
@@ -86,7 +90,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     c = ((p - lo) * 256 + (hi - p)).astype(np.uint64)
     for k in range(-(-(GRAM + 2 * REACH) // 16)):  # 16-byte hashes that cover the context between them
         c = _mixed(c * STEPS[1] + sixteen[np.minimum(lo + 16 * k, hi - 16)])
-    return {"h": h[p], "c": c, "text": text, "lo": lo - first, "n": hi - lo}
+    return {"h": h[p], "c": c, "text": text, "lo": lo - first, "n": hi - lo, "pre": p - lo}
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -216,10 +220,32 @@ def _released(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def split(rows: DataFrame, width: int) -> DataFrame:
+    """The rows' strings by ranges of `width` places of the gram: a row per range that the row has strings of."""
+    low, high = f"greatest(g * {width}, pre - length(part) + {SPAN})", f"least(g * {width} + {width - 1}, pre)"
+    ranges = F.expr(
+        f"transform(sequence(cast((pre - length(part) + {SPAN}) / {width} as int), cast(pre / {width} as int)), g -> struct("
+        f"xxhash64(key, g, substring(part, pre - g * {width} + 1, {SPAN - width + 1})) as key, {high} - {low} + {SPAN} as size, pre - {high} as skip, {high} as pre))"
+    )
+    d = rows.select("id", "th", "h", "c", "lo", "more", "off", "part", F.explode(ranges).alias("x"))
+    part = F.expr("substring(part, x.skip + 1, x.size)")
+    return d.select("id", "th", "h", "c", "lo", "more", (F.col("off") + F.col("x.skip")).alias("off"), part.alias("part"), F.col("x.key").alias("key"), F.col("x.pre").alias("pre"))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows of keys with two ids or more, and: whole, an equal piece stands under a smaller id; large, the key has too many pieces."""
+    firsts = rows.groupBy("key", "part").agg(F.min("id").alias("first"))
+    keys = firsts.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("last"), F.count("*").alias("own"))
+    d = rows.join(firsts, ["key", "part"]).join(keys, "key").withColumn("whole", F.col("id") > F.col("first"))
+    d = d.filter("whole or low < last").withColumn("large", F.col("own") > LARGE)
+    return d.drop("first", "low", "last", "own")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, spans): what `ranges` turns into byte ranges to remove, for each document that loses some."""
     spark = docs.sparkSession
-    d = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.filter(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     twice = d.groupBy("id").count().filter("count > 1").limit(1).count()
     d = d.withColumn("th", F.xxhash64("text") if twice else F.lit(0).cast("long"))
 
@@ -241,50 +267,61 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                     new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (t[1:] != t[:-1]))
                     more = np.append(~new[1:], False)[new]
                     pick = order[new]
-                    packed = ((found["lo"][pick] * 128 + found["n"][pick]) * 2 + more).astype(np.int64)
+                    packed = (((found["lo"][pick] * 128 + found["n"][pick]) * 32 + found["pre"][pick]) * 2 + more).astype(np.int64)
                     of = at + found["text"][pick]
                     yield pd.DataFrame({"h": found["h"][pick].view(np.int64), "c": found["c"][pick].view(np.int64), "id": ids[of], "th": ths[of], "at": packed})
                 at = end
 
-    a = d.mapInPandas(anchored, "h long, c long, id long, th long, at long")
+    a = d.mapInPandas(anchored, f"h long, c long, id {kind}, th long, at long")
     gram, context = W.partitionBy("h"), W.partitionBy("h", "c")
     a = a.withColumn("first", F.min("id").over(context)).withColumn("low", F.min("id").over(gram)).withColumn("high", F.max("id").over(gram))
     a = a.filter("low < high").withColumn("own", F.sum(F.when(F.col("id") == F.col("first"), 1).otherwise(0)).over(gram)).withColumn("last", F.max("first").over(gram))
-    a = written(a.select("h", "c", "id", "th", F.shiftright("at", 8).alias("lo"), F.shiftright("at", 1).bitwiseAND(127).alias("n"), (F.col("at").bitwiseAND(1) == 1).alias("more"), (F.col("id") > F.col("first")).alias("whole"), (F.col("low") < F.col("last")).alias("mixed"), (F.col("own") > HOT).alias("hot")), "anchors")
+    a = a.select(
+        "h", "c", "id", "th", F.shiftright("at", 13).alias("lo"), F.shiftright("at", 6).bitwiseAND(127).alias("n"), F.shiftright("at", 1).bitwiseAND(31).alias("pre"),
+        (F.col("at").bitwiseAND(1) == 1).alias("more"), (F.col("id") > F.col("first")).alias("whole"), (F.col("low") < F.col("last")).alias("mixed"), (F.col("own") > LARGE).alias("large"),
+    )
+    a = written(a, "anchors")
     _released(spark)
 
     reps = a.filter("mixed and not whole")
-    by_doc = reps.groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_list(F.struct("h", "c", "lo", "n", "more", "hot")).alias("cuts"))
+    by_doc = reps.groupBy(F.col("id").alias("i"), F.col("th").alias("x")).agg(F.collect_list(F.struct("h", "c", "lo", "n", "pre", "more", "large")).alias("cuts"))
 
     def cut(batches):
         for b in batches:
             rows = []
             for i, th, s, cuts in zip(b["id"], b["th"], b["text"], b["cuts"]):
                 raw = s.encode("utf-8", "surrogatepass")
-                rows += [(x["h"], x["c"], i, th, x["lo"], raw[x["lo"] : x["lo"] + x["n"]], x["more"], x["hot"]) for x in cuts]
-            yield pd.DataFrame(rows, columns=["h", "c", "id", "th", "lo", "part", "more", "hot"])
+                rows += [(x["h"], x["h"], x["c"], i, th, x["lo"], 0, x["pre"], raw[x["lo"] : x["lo"] + x["n"]], x["more"], x["large"]) for x in cuts]
+            yield pd.DataFrame(rows, columns=["key", "h", "c", "id", "th", "lo", "off", "pre", "part", "more", "large"])
 
-    parts = d.join(by_doc.hint("merge"), (d["id"] == by_doc["i"]) & (d["th"] == by_doc["x"])).select("id", "th", "text", "cuts")
-    parts = written(parts.mapInPandas(cut, "h long, c long, id long, th long, lo long, part binary, more boolean, hot boolean"), "contexts")
+    parts = d.join(by_doc.hint("merge"), d["id"].eqNullSafe(by_doc["i"]) & (d["th"] == by_doc["x"])).select("id", "th", "text", "cuts")
+    parts = written(parts.mapInPandas(cut, f"key long, h long, c long, id {kind}, th long, lo long, off long, pre long, part binary, more boolean, large boolean"), "contexts")
     _released(spark)
 
+    of = ["id", "th", "h", "c", "lo", "more"]
+
     def shard(batches):
         b = pd.concat(list(batches) or [pd.DataFrame()])  # a shard of about SHARD_CONTEXTS contexts
         if not len(b):
             return
-        hits = repeated_strings([bytes(x) for x in b["part"]], b["id"].to_numpy())
-        rows = [(*r, s, e) for *r, x in zip(b["id"], b["th"], b["h"], b["c"], b["lo"], b["more"], hits) for s, e in _runs(x)]
-        yield pd.DataFrame(rows, columns=["id", "th", "h", "c", "lo", "more", "a", "b"])
-
-    of = ["id", "th", "h", "c", "lo", "more"]
-    schema = "id long, th long, h long, c long, lo long, more boolean, a long, b long"
-    shards = max(1, -(-parts.count() // SHARD_CONTEXTS))
-    cold = parts.filter("not hot").drop("hot").repartition(shards, "h").mapInPandas(shard, schema)
-    strings = parts.filter("hot").select(*of, F.posexplode(F.expr(f"transform(sequence(0, length(part) - {SPAN}), o -> substring(part, o + 1, {SPAN}))")).alias("o", "s"))
-    firsts = strings.groupBy("s").agg(F.min("id").alias("first"))
-    hot = strings.join(firsts, "s").filter("first < id").select(*of, F.col("o").cast("long").alias("a"), (F.col("o") + SPAN).cast("long").alias("b"))
-    whole = a.filter("whole").select(*of, F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
-    every = whole.unionByName(cold).unionByName(hot)
+        owners = np.unique(b["id"].to_numpy(), return_inverse=True)[1]
+        hits = repeated_strings([bytes(x) for x in b["part"]], owners)
+        rows = [(*r, o + s, o + e) for *r, o, x in zip(b["id"], b["th"], b["h"], b["c"], b["lo"], b["more"], b["off"], hits) for s, e in _runs(x)]
+        yield pd.DataFrame(rows, columns=[*of, "a", "b"])
+
+    every = a.filter("whole").select(*of, F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
+    small = [parts.filter("not large")]
+    large = parts.filter("large")
+    for width in WIDTHS:
+        if not large.limit(1).count():
+            break
+        level = written(settled(split(large, width)), "pieces")
+        every = every.unionByName(level.filter("whole").select(*of, F.col("off").alias("a"), (F.col("off") + F.length("part")).alias("b")))
+        small.append(level.filter("not whole and not large"))
+        large = level.filter("not whole and large")
+    cold = reduce(DataFrame.unionByName, [x.select("key", *of, "off", "part") for x in small])
+    shards = max(1, -(-cold.count() // SHARD_CONTEXTS))
+    every = every.unionByName(cold.repartition(shards, "key").mapInPandas(shard, f"id {kind}, th long, h long, c long, lo long, more boolean, a long, b long"))
     # Hashes only matter where a context stands at several places; no field is null, so that none turns into a float.
     mark = lambda c: F.when(F.col("more"), F.col(c)).otherwise(0)
     span = F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"), "more", mark("h").alias("h"), mark("c").alias("c"), "a", "b")
