@@ -2,8 +2,8 @@
 
 A byte goes if a 50-byte string over it also starts in a document with a smaller id. Equal strings must meet in one
 shard for that, so strings are dealt by anchors: of the 24-byte grams in every 50-byte string the one with the least
-hash, which equal strings share at the same place. An anchor's context is all that 50-byte strings over its gram
-can reach, 76 bytes; one that comes back within its document is one row, and its places are looked up again at the
+hash, which equal strings share at the same place. An anchor's context is all that its own 50-byte strings
+reach, 76 bytes at most; one that comes back within its document is one row, and its places are looked up again at the
 end. Anchors whose gram stands in one document only are done with. Of equal contexts only the one
 with the smallest id is compared further: every later one loses all its strings. The contexts that are left and
 differ around the same gram go to shards, whose suffix arrays come from induced sorting: suffixes are classified,
@@ -37,11 +37,12 @@ SPAN = 50
 GRAM = 24
 REACH = SPAN - GRAM
 SHARD_CONTEXTS = 24_000
-LARGE = 1_000
+LARGE = SHARD_CONTEXTS // 2
 #: Places of the gram in a string that share a key, level by level.
 WIDTHS = (9, 3, 1)
 #: Bytes of texts that are looked at side by side.
 PIECE = 1 << 17
+UPPER = np.uint64(0xFFFFFFFF00000000)
 
 _g = np.random.default_rng(20)
 TABLE = _g.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,13 +54,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over every `width` neighbours."""
+def _slid(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours."""
     done = 1
     while done * 2 <= width:
-        x = pick(x[:-done], x[done:])
+        x = np.minimum(x[:-done], x[done:])
         done *= 2
-    return pick(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
+    return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -75,18 +76,20 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         x = x[: -(1 << k)] * step + x[1 << k :]
     sixteen = x  # of 16 bytes, from those of 8
     h = _mixed(sixteen[: len(raw) - GRAM + 1] * STEPS[0] + eight[16 : 16 + len(raw) - GRAM + 1])
-    least = _slid(h, REACH + 1, np.minimum)  # of each string
+    # The leftmost of a string's grams with the least upper half of the hash: half and place make one number.
+    at = (h & UPPER) | np.arange(len(h), dtype=np.uint64)
+    of = (_slid(at, REACH + 1) & ~UPPER).astype(np.int64)  # the gram of each string
     inside = np.zeros(len(raw) + 1, dtype=np.int64)  # strings that end within their text
     good = lengths >= SPAN
     np.add.at(inside, (ends - lengths)[good], 1)
     np.add.at(inside, (ends - SPAN + 1)[good], -1)
-    least[np.cumsum(inside)[: len(least)] == 0] = 0
-    fill = np.zeros(REACH, dtype=np.uint64)
-    best = _slid(np.concatenate([fill, least, fill]), REACH + 1, np.maximum)  # of the strings over a gram
-    p = np.nonzero(best == h)[0]
+    s = np.nonzero(np.cumsum(inside)[: len(of)] > 0)[0]
+    of = of[s]
+    head = np.append(True, of[1:] != of[:-1]) if len(of) else np.empty(0, dtype=bool)  # a gram's strings are neighbours
+    p, lo = of[head], s[head]
+    hi = s[np.append(np.nonzero(head)[0][1:], len(s)) - 1] + SPAN if len(s) else lo
     text = np.searchsorted(ends, p, side="right")
-    first, end = (ends - lengths)[text], ends[text]
-    lo, hi = np.maximum(p - REACH, first), np.minimum(p + GRAM + REACH, end)
+    first = (ends - lengths)[text]
     c = ((p - lo) * 256 + (hi - p)).astype(np.uint64)
     for k in range(-(-(GRAM + 2 * REACH) // 16)):  # 16-byte hashes that cover the context between them
         c = _mixed(c * STEPS[1] + sixteen[np.minimum(lo + 16 * k, hi - 16)])
