@@ -71,11 +71,30 @@ def test_quality_rules(spark, rows):
 
 
 def test_bad_host_takes_its_documents(spark):
-    bad = [(k, "no", "en", "bad") for k in range(200)] + [(900, prose(1, 60), "en", "bad")]
-    good = [(1000 + k, prose(k, 40), "en", f"g{k % 9}") for k in range(400)]
-    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, bad + good)).collect()}
-    assert not got[900].kept and not got[900].base_failed
-    assert all(got[r[0]].kept for r in good)
+    """A host at a third against a tenth of the corpus fails; a tiny one at two thirds and one at a seventh don't."""
+    g = np.random.default_rng(8)
+
+    def host(name, n, failures, at):
+        bad = set(g.choice(n, failures, replace=False).tolist())
+        return [(at + k, "no" if k in bad else prose(at + k, 40), "en", name) for k in range(n)]
+
+    rows = host("bad", 300, 100, 0) + host("tiny", 3, 2, 1000) + host("seventh", 280, 40, 2000)
+    for k in range(6):
+        rows += host(f"g{k}", 300, 20, 10_000 * (k + 1))
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    for i, t, _, s in rows:
+        assert got[i].base_failed == (t == "no") and got[i].host_failed == (s == "bad")
+        assert got[i].kept == (t != "no" and s != "bad")
+
+
+def test_windows_whose_hashes_clash(spark, monkeypatch):
+    """Equal windows are found though another window of the same hash stands between them."""
+    monkeypatch.setattr(quality_rules, "WINDOW", 1)
+    t = "a b a c b " + " ".join(f"w{k}" for k in range(30))
+    clash = quality_rules.F.expr
+    monkeypatch.setattr(quality_rules.F, "expr", lambda e: clash(e.replace("xxhash64(slice(_w, i + 1, 1))", "7L")))
+    r = quality_rules.measures(table(spark, [(1, t, "en", "s")]), "doc_id").collect()
+    assert r[0].n_repeat_words == 4
 
 
 def test_classifier(spark):

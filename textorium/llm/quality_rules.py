@@ -1,8 +1,9 @@
 """Operator 2: document rules with host-level verdicts.
 
 Each document gets text measures and a base verdict; failures are counted by host, every host's failure rate is
-shrunk towards the corpus rate by a beta prior fitted to the hosts themselves, and hosts whose shrunk rate is over
-`host_rate` take their documents with them. Everything is DataFrame expressions.
+shrunk towards the corpus rate by a beta prior fitted to the hosts themselves. A host fails if its posterior mean, less
+`sure` posterior standard deviations, is still over `times` the corpus rate; it then takes its documents with it. Small
+hosts and hosts that differ by chance never do. Everything is DataFrame expressions.
 
 Cases: a null text has no words and fails; a null host is a host of its own; repeated rows count each time; an
 empty table gives an empty result; other columns of the input are ignored.
@@ -38,11 +39,11 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
     d = d.withColumn(
         "_s",
         F.expr(
-            "if(size(array_distinct(_h)) < size(_h), array_sort(transform(_h, (h, i) -> struct(h, i))),"
-            " cast(array() as array<struct<h:bigint,i:int>>))"
+            f"if(size(array_distinct(_h)) < size(_h), array_sort(transform(_h, (h, i) -> struct(h, slice(_w, i + 1, {WINDOW}) as g, i))),"
+            " cast(array() as array<struct<h:bigint,g:array<string>,i:int>>))"
         ),
     )
-    same = f"(_s[{{a}}].h = _s[{{b}}].h and slice(_w, _s[{{a}}].i + 1, {WINDOW}) = slice(_w, _s[{{b}}].i + 1, {WINDOW}))"
+    same = "(_s[{a}].h = _s[{b}].h and _s[{a}].g = _s[{b}].g)"
     d = d.withColumn(
         "_p",
         F.expr(
@@ -58,7 +59,7 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """(host, n, failed, rate): the beta posterior mean of each host's failure rate.
+    """(host, n, failed, corpus, rate, spread): the corpus rate, and the beta posterior mean and standard deviation of each host's.
 
     The prior's mean is the corpus rate and its weight comes from the spread of the hosts' rates by moments: the
     spread that is left after what chance alone would give.
@@ -75,19 +76,20 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     spread = (F.col("squares") / F.col("n_all") - mean * mean) - chance * (F.col("hosts") - 1) / F.col("n_all")
     weight = F.when((chance > 0) & (spread > 0), F.greatest(F.lit(1.0), F.least(F.lit(1e6), chance / spread - 1))).otherwise(1e6)
     prior = total.select(mean.alias("prior"), weight.alias("weight"))  # one row
-    return by_host.join(F.broadcast(prior)).select(
-        "host", "n", "failed", ((F.col("failed") + F.col("prior") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("rate")
-    )
+    size = F.col("n") + F.col("weight")
+    rates = by_host.join(F.broadcast(prior)).withColumn("rate", (F.col("failed") + F.col("prior") * F.col("weight")) / size)
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (size + 1))
+    return rates.select("host", "n", "failed", F.col("prior").alias("corpus"), "rate", deviation.alias("spread"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", host_rate: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", host: str = "source", times: float = 2.0, sure: float = 2.0) -> DataFrame:
     """(id, measures, base_failed, kept, host_failed), a row per row of docs.
 
     The measures are written once and read for the counts and for the join; the join back is on the host, whose
     large partitions Spark splits at run time.
     """
     m = written(measures(docs, id_col, host), "rules")
-    bad = host_rates(m, host).select("host", (F.col("rate") > host_rate).alias("host_failed"))
+    bad = host_rates(m, host).select("host", (F.col("rate") - sure * F.col("spread") > times * F.col("corpus")).alias("host_failed"))
     joined = m.join(bad, m[host].eqNullSafe(bad["host"]), "left")
     failed = F.coalesce("host_failed", F.lit(False))
     return joined.select(id_col, *MEASURES, "base_failed", (~F.col("base_failed") & ~failed).alias("kept"), failed.alias("host_failed"))
@@ -111,7 +113,8 @@ tot as (select sum(n) as n_all, sum(failed) / sum(n) as mean, count(*) as hosts,
 var as (select mean, mean * (1 - mean) as chance,
   (squares / n_all - mean * mean) - mean * (1 - mean) * (hosts - 1) / n_all as spread from tot),
 prior as (select mean, case when chance > 0 and spread > 0 then greatest(1.0, least(1e6, chance / spread - 1)) else 1e6 end as weight from var),
-bad as (select source, (failed + mean * weight) / (n + weight) > 0.5 as host_failed from h, prior)
+post as (select source, mean, n + weight as size, (failed + mean * weight) / (n + weight) as rate from h, prior),
+bad as (select source, rate - 2 * sqrt(rate * (1 - rate) / (size + 1)) > 2 * mean as host_failed from post)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (not base_failed and not host_failed) as kept, host_failed
 from f join bad on f.source is not distinct from bad.source
