@@ -177,15 +177,64 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1
 def test_html(spark):
     long = "<div>" + "".join(f"<p>{prose(k, 40)}</p>" for k in range(3)) + "</div>"
     bare = f"<body><nav><a>menu</a></nav>{long}<div class='comment-list'><p>{prose(9, 50)}</p></div><footer>c</footer>"
-    pages = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, None, "<article><b>x<p>y</b>z</p></article>"), (5, "u", bare), (5, "u", bare), (6, "u", "<p>no surge")]
+    pages = [(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, None, "<article><b>x<p>y</b>z</p></article>"), (5, "u", bare), (5, "u", bare), (6, "u", "<p>short text")]
     d = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(d, "page_id", "html", "url").collect()}
     assert got[1].text == "Head & line\nFirst para italic goes on.\none\ntwo\nQuote <b>\ntail text"
-    assert (got[2].text, got[2].n_chars, got[3].text, got[6].text) == ("", 0, "", "")
+    assert (got[2].text, got[2].n_chars, got[3].text, got[6].text) == ("", 0, "", "short text")
     assert got[4].text == "x\ny\nz"
     assert got[5].text == "\n".join(prose(k, 40) for k in range(3)) and got[5].n_chars == len(got[5].text)
 
 
+def windows_by_hand(page):
+    """The rule written out: every window, its sum, and the runs of lines between surges and dives."""
+    found = html_text.lines(page)
+    named = any(x[2] and not x[1] for x in found)
+    keep = [not x[1] and (x[2] or not named) for x in found]
+    w = [(len(x[0]) if named else max(0, len(x[0]) - 2 * x[3])) * k for x, k in zip(found, keep)]
+    sums = [sum(w[i : i + html_text.LINES]) for i in range(len(w))]
+    need = min(html_text.SURGE, html_text.PART * max(sums, default=0))
+    out, run = [], []
+    for i in range(len(w) + 1):
+        if i < len(w) and sums[i] > 0 and (run or w[i]):
+            run.append(i)
+            continue
+        if run and max(sums[k] for k in run) >= need:
+            out += [found[k][0] for k in run if keep[k]]
+        run = []
+    return "\n".join(out)
+
+
+def test_windows_find_the_bounds(spark):
+    """Without windows short strays would stay and lines of links inside the text would go."""
+    text = [prose(k, 40) for k in range(4)]
+    links = "<p>" + "".join(f"<a href='/{k}'>{prose(50 + k, 3)}</a> " for k in range(3)) + "</p>"
+    far = "<hr>".join("<p><a href='/'>menu</a></p>" for _ in range(4))
+    page = f"<p>stray</p>{far}<h1>A title</h1><p>{text[0]}</p>{links}<p>{text[1]}</p><p>end</p>{far}<p>last</p>"
+    got = html_text.main_text(page).split("\n")
+    assert got == ["A title", text[0], " ".join(prose(50 + k, 3) for k in range(3)), text[1], "end", "menu", "menu"][: len(got)]
+    assert "stray" not in got and "last" not in got and len(got) >= 5
+    plain = [x[0] for x in html_text.lines(page) if not x[1] and len(x[0]) > 2 * x[3]]
+    assert plain == ["stray", "A title", text[0], text[1], "end", "last"]
+    assert html_text.main_text(page) == windows_by_hand(page)
+    g = np.random.default_rng(6)
+    for _ in range(200):
+        parts = ["<p>x</p>", "<p><a>link link</a></p>", f"<p>{prose(int(g.integers(99)), int(g.integers(1, 30)))}</p>", "<div class=ad>buy</div>", "<article>", "</article>", "<br>", "<!-- no", "<![CDATA[", "<a \"", "&amp;"]
+        page = "".join(parts[int(i)] for i in g.integers(0, len(parts), 25))
+        assert html_text.main_text(page) == windows_by_hand(page)
+
+
+def test_broken_markup_takes_linear_time(spark):
+    import time
+
+    for bad in ("<a ", "<![CDATA[", "<!", "<a \"", "<a x='", "<!--", "</", "<p <"):
+        at = time.time()
+        html_text.main_text("<p>text " + bad * 100_000)
+        assert time.time() - at < 20, bad
+    d = spark.createDataFrame([(1, "<p>a title", "u", 5.0)], "id long, html string, text string, score double")
+    assert html_text.extract(d, "id", "html", "text", "score").columns == ["id", "score", "text", "n_chars"]
+
+
 def test_secrets(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     plain = f'é password = "hunter2hunter" and {key}; 0123456789abcdef0123456789 token: ab Secret=token:abcdefg'

@@ -1,10 +1,11 @@
 """Operator 4: main text of web pages by line-block distribution.
 
 Markup is stripped into one line per block element, and what stands in menus, headers, footers, sidebars, notices,
-adverts, forms and comments becomes an empty line. Text lengths are then summed over sliding windows of lines: the
-main text starts where the sums surge and ends where they dive to nothing. An article or main element is taken as a
-surge of its own, so that its first and last short blocks stay; without one the lines are weighed by the text outside
-of links and only runs that reach SURGE characters count.
+adverts, forms and comments becomes an empty line. Markup only weighs the lines: those of an article or main element by their
+length and all others of such a page by nothing, without one by the text outside of links. The weights are then
+summed over sliding windows of lines, on every page alike: the main text starts where the sums surge and ends
+where they dive to nothing, and every line between the two stays. A surge is a sum of SURGE characters, or of a
+PART of the page's largest sum where that is less, so that short articles have one too.
 
 Cases: null html is empty, and a page without main text has an empty text and 0 characters; unclosed and crossed
 tags end with their container; repeated rows are extracted each; an empty table gives an empty result; other columns
@@ -20,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a sliding window, and the characters that make a surge where no element names the main text.
+#: Lines of a sliding window, and the characters, or the part of the largest sum, that make a surge.
 LINES = 3
-SURGE = 80
+SURGE, PART = 80, 0.25
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -44,7 +45,12 @@ ASIDE = re.compile(
     r"|alert|skip|tags?|toc)(?=$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, character data, declarations and tags; a tag whose quotes don't close ends at the next bracket. Each
+#: stops at the next tag or reads to the end of the page once, so that broken markup takes linear time.
+TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>", re.S
+)
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -133,34 +139,30 @@ def main_text(page: str | None) -> str:
     """The blocks between surges and dives, joined by newlines."""
     found = lines(page or "")
     named = any(article and not aside for _, aside, article, _ in found)
-    weight = []
-    for t, aside, article, in_links in found:
-        if aside or named and not article:
-            weight.append(0)
-        elif named:
-            weight.append(max(len(t), 1))
-        else:
-            weight.append(max(0, len(t) - 2 * in_links))
-    least = 1 if named else SURGE
+    out = [aside or named and not article for _, aside, article, _ in found]
+    weight = [0 if off else max(0, len(t) - (0 if named else 2 * in_links)) for off, (t, _, _, in_links) in zip(out, found)]
     ahead = [sum(weight[i : i + LINES]) for i in range(len(weight))]
+    surge = min(SURGE, PART * max(ahead, default=0))
     kept: list[str] = []
     i = 0
     while i < len(weight):
-        if not weight[i] or ahead[i] == 0:
+        if not weight[i]:
             i += 1
             continue
-        end = i  # the dive: nothing in the window that starts here
-        while end < len(weight) and ahead[end] > 0:
-            end += 1
-        if max(ahead[i:end]) >= least:
-            kept += [found[k][0] for k in range(i, end) if weight[k] > 0]
-        i = end + 1
+        dive = i  # nothing in the window that starts there
+        while dive < len(weight) and ahead[dive] > 0:
+            dive += 1
+        if max(ahead[i:dive]) >= surge:
+            kept += [found[k][0] for k in range(i, dive) if not out[k]]
+        i = dive + 1
     return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html: str = "html", *keep: str) -> DataFrame:
-    """(id, keep..., text, n_chars), a row per row of pages; no shuffle."""
-    d = pages.select(F.col(id_col).alias("id"), F.col(html).alias("html"), *keep)
+    """(id, keep..., text, n_chars), a row per row of pages; no shuffle. Kept columns of the last two names give way to them."""
+    keep = [k for k in keep if k not in (id_col, "text", "n_chars")]
+    kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, *keep)]
+    d = pages.select(F.col(id_col).alias("c0"), *(F.col(k).alias(f"c{i + 1}") for i, k in enumerate(keep)), F.col(html).alias("html"))
 
     def run(batches):
         for b in batches:
@@ -169,5 +171,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", html: str = "html", *keep
             out["n_chars"] = [len(x) for x in out["text"]]
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "html")
-    return d.mapInPandas(run, f"{fields}, text string, n_chars long").withColumnRenamed("id", id_col)
+    fields = ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds))
+    return d.mapInPandas(run, f"{fields}, text string, n_chars long").toDF(id_col, *keep, "text", "n_chars")
