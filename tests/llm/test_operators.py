@@ -257,6 +257,50 @@ def test_secrets(spark):
     assert got[8].spans == f"assign:0:{len(texts[8])}"
 
 
+def test_secrets_in_every_layer():
+    """Every way of wrapping and up to four layers of them: the secret is found, and its span holds what carries it."""
+    import zlib
+
+    key = "AKIA" + "ABCDEFGH12345678"
+    b64 = lambda b: base64.b64encode(b).decode()
+    ways = [
+        lambda t: "".join(f"%{x:02x}" for x in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: b64(t.encode()),
+        lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+        lambda t: "com/cb/x-" + b64(t.encode()),
+        lambda t: base64.encodebytes(("filler text " * 20 + t).encode()).decode(),
+        lambda t: base64.encodebytes(gzip.compress((t * 3 + str(list(range(300)))).encode(), mtime=0)).decode(),
+        lambda t: b64(zlib.compress(t.encode())),
+        lambda t: b64(gzip.compress(b"first member", mtime=0) + gzip.compress(t.encode(), mtime=0)),
+        lambda t: b64(gzip.compress(gzip.compress(t.encode(), mtime=0), mtime=0)),
+        lambda t: b64(b"\xff\x00\xfe" + t.encode() + b"\x80"),
+        lambda t: b64(zlib.compress(("x" * 300 + t + "y" * 4000 + "".join(map(str, range(3000)))).encode())[:-40]),
+    ]
+    g = np.random.default_rng(1)
+    for case in range(120):
+        chosen = [case % len(ways)] if case < len(ways) else g.integers(0, len(ways), int(g.integers(1, 5))).tolist()
+        t = key
+        for w in chosen:
+            t = ways[w](t)
+        text = f"é say {t} end"
+        base, every = secrets.secrets_of(text)
+        found = [(s, e) for s, e, k, deep in every if k == 1 and deep]
+        assert found, chosen
+        assert all(0 <= s < e <= len(text) for s, e in found)
+    words = prose(1, 400)
+    assert all(not deep for *_, deep in secrets.secrets_of(words)[1])
+
+
+def test_secrets_in_large_streams_and_cycles(monkeypatch):
+    key = "AKIA" + "ABCDEFGH12345678"
+    big = base64.b64encode(gzip.compress(b"filler " * (3 << 20) + key.encode() + b" " * (9 << 20), mtime=0)).decode()
+    assert [x[:3] for x in secrets.secrets_of(f"a {big}")[1]] == [(2, 2 + len(big), 1)]
+    # a stream that unpacks to itself
+    monkeypatch.setattr(secrets, "_unpacked", lambda raw: iter([raw]))
+    assert secrets.secrets_of(base64.b64encode(b"turns round and round").decode())[1] == []
+
+
 def test_line_dedup(spark, rows):
     def xx(s):
         v = xxhash.xxh64_intdigest(s.encode(), 42)
