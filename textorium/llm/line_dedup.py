@@ -57,8 +57,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", whole:
     one row a task before the shuffle.
     """
     c = chunks(docs, id_col, text, whole)
-    many = c.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    again = c.join(many, "key", "left_semi").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("spans"))
+    # Both sides of each join are plain shuffles, whose hot keys Spark splits; counts and minima are merged in each task first.
+    many = written(c.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "chunk-keys")
+    again = c.join(many.hint("merge"), "key", "left_semi").groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "key")).alias("spans"))
     again = written(again, "chunk-hashes").toDF("_id", "_th", "spans")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n").alias("lines"))
     d = d.join(again.hint("merge"), d["id"].eqNullSafe(again["_id"]) & (d["th"] == again["_th"]))
@@ -66,7 +67,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", whole:
     same = written(d.select("id", "th", "c.*"), "chunk-candidates")
     place = F.struct(F.col("id").isNull().alias("o"), F.col("id").alias("i"), F.col("th").alias("t"), F.col("start").alias("s"))
     firsts = same.groupBy("key", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = same.join(firsts, ["key", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
+    later = same.join(written(firsts, "chunk-firsts").hint("merge"), ["key", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
     lines = later.select("id", "th", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("start"))
     return lines.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(1).alias("n")))).alias("cuts"))
 
