@@ -349,6 +349,37 @@ def test_decontamination(spark, rows):
     assert decontamination.decontaminate(d, bench.filter("false")).count() == len(rows) + 4
 
 
+def test_decontamination_brute_force(spark):
+    """Items of 1 to 40 words with as many substitutions as may differ, against every place of every document compared."""
+    g = np.random.default_rng(9)
+    letters = lambda n: ["".join(g.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    items = [letters(n) for n in [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 16, 25, 40] for _ in range(3)]
+    docs = []
+    for k in range(300):
+        w = list(items[k % len(items)])
+        for i in g.choice(len(w), int(g.integers(0, len(w) // 5 + 2)) % (len(w) + 1), replace=False):
+            w[i] = letters(1)[0]
+        docs.append(letters(int(g.integers(0, 30))) + w + letters(int(g.integers(0, 30))))
+
+    def holds(d, item):
+        span = min(decontamination.REGION, len(item))
+        for shift in range(-len(item) + 1, len(d)):
+            equal = [0 <= shift + k < len(d) and d[shift + k] == w for k, w in enumerate(item)]
+            inside = [k for k in range(len(item)) if 0 <= shift + k < len(d)]
+            for a in range(len(item) - span + 1):
+                if all(k in inside for k in (a, a + span - 1)) and 5 * sum(equal[a : a + span]) >= 4 * span:
+                    return True
+        return False
+
+    want = {(k, j) for k, d in enumerate(docs) for j, item in enumerate(items) if set(d) & set(item) and holds(d, item)}
+    d = table(spark, [(k, " ".join(x), "en", "s") for k, x in enumerate(docs)])
+    b = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, b).collect()}
+    assert got <= want and len(want) > 150
+    assert {(k, j) for k, j in want if len(items[j]) <= 9} <= got
+    assert len(got) >= 0.98 * len(want)
+
+
 def test_masks_cover():
     for radius in (1, 2, 3):
         masks = simhash.covering_masks(radius)

@@ -7,8 +7,12 @@ some stretch of REGION words (the whole item if it is shorter) agrees in at leas
 expressions only.
 
 Words are lower-cased runs of letters and digits. Cases: null texts have no words; null ids are ids of their own; rows
-with the same id and text give one result; items with fewer than six words can hold no seed and match
-nothing; empty tables give an empty result; other columns are ignored.
+with the same id and text give one result; an item without words matches nothing; empty tables give an empty result;
+other columns are ignored.
+
+Items of up to seven words hold too few of these seeds. They have masks of their own, laid over the whole item: all its
+words, and from five words on (where one in five may differ) all but one, for each one. Documents are looked
+through for the lengths of short items that the benchmark holds, and for none if it holds none.
 
 The table of seeds grows with the benchmark. It is counted, and joined in as many broadcast blocks of at most
 BLOCK_SEEDS rows as it takes; the corpus side is never shuffled for it.
@@ -26,6 +30,8 @@ from .common import written
 #: Offsets of the words that count, the two masks of weight five that together miss least at one substitution in five.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 REGION = 13
+#: Words of the longest item with masks of its own.
+SHORT = 7
 BLOCK_SEEDS = 500_000
 
 
@@ -53,6 +59,35 @@ def hits(docs: DataFrame, seed_table: DataFrame) -> DataFrame:
     return d.select("id", "th", "item", "n_item", (place - F.col("place")).alias("diagonal")).distinct()
 
 
+def short_masks(n: int, agree: float) -> list[tuple[int, ...]]:
+    """Masks over an item of n words, of which one is whole wherever `agree` of the words are."""
+    every = tuple(range(n))
+    return [every] if n - 1 < agree * n else [every[:k] + every[k + 1 :] for k in range(n)]
+
+
+def short_seeds(source: str, n: int, agree: float) -> str:
+    """An array of (seed, place) of the masks for items of n words, at every place of `source`."""
+    hashes = ", ".join(f"xxhash64({', '.join(f'{source}[i + {o}]' for o in m)}, {100 * n + k})" for k, m in enumerate(short_masks(n, agree)))
+    each = f"flatten(transform(sequence(0, size({source}) - {n}), i -> transform(array({hashes}), s -> struct(s as seed, i as place))))"
+    return f"if(size({source}) >= {n}, {each}, cast(array() as array<struct<seed:bigint,place:int>>))"
+
+
+def short_hits(docs: DataFrame, items: DataFrame, agree: float) -> DataFrame | None:
+    """As `hits`, for the items (item, ith, w) of up to SHORT words; None if there are none."""
+    few = items.filter(F.size("w").between(1, SHORT))
+    lengths = sorted(r["n"] for r in few.select(F.size("w").alias("n")).distinct().collect())  # SHORT at most
+    if not lengths:
+        return None
+    d = docs.select("id", "th", F.transform(tokens("text"), lambda w: F.xxhash64(w)).alias("w"))
+    d = d.select("id", "th", F.explode(F.expr(f"concat({', '.join(short_seeds('w', n, agree) for n in lengths)})")).alias("x")).select("id", "th", "x.*")
+    own = [few.filter(F.size("w") == n).select("item", "ith", F.explode(F.expr(short_seeds("w", n, agree))).alias("x")).select(
+        F.col("x.seed").alias("seed"), F.struct("item", "ith").alias("item"), F.lit(n).alias("n_item")) for n in lengths]
+    own = written(reduce(DataFrame.union, own).distinct(), "short-seeds")
+    blocks = max(1, -(-own.count() // BLOCK_SEEDS))
+    found = [d.join(F.broadcast(own.filter(F.pmod(F.xxhash64(F.col("seed"), F.lit(1)), F.lit(blocks)) == b)), "seed") for b in range(blocks)]
+    return reduce(DataFrame.union, found).select("id", "th", "item", "n_item", F.col("place").alias("diagonal")).distinct()
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", agree: float = 0.8) -> DataFrame:
     """(id, th, item, first_word, last_word, n_equal): overlaps of documents with items, a row per pair.
 
@@ -67,6 +102,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item
     t = written(parts[0].union(parts[1]).select("seed", F.struct("item", "ith").alias("item"), "n_item", "place").distinct(), "seeds")
     blocks = max(1, -(-t.count() // BLOCK_SEEDS))
     found = [hits(d, t.filter(F.pmod(F.xxhash64(F.col("seed"), F.lit(1)), F.lit(blocks)) == b)) for b in range(blocks)]
+    if (short := short_hits(d, items.withColumn("w", F.transform("item_words", lambda w: F.xxhash64(w))), agree)) is not None:
+        found.append(short)
     found = written(reduce(DataFrame.union, found).distinct().groupBy(F.col("id").alias("i"), F.col("th").alias("h")).agg(F.collect_list(F.struct("item", "n_item", "diagonal")).alias("hits")), "hits")
 
     d = d.join(found, d["id"].eqNullSafe(found["i"]) & d["th"].eqNullSafe(found["h"])).withColumn("w", tokens("text"))
