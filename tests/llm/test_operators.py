@@ -533,6 +533,37 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify(d, None).collect()} == {"und"}
 
 
+def test_language_id_keeps_clashing_columns(spark):
+    rows = [(k, ("kra mol tip senn " if k % 2 else "oua eli ésu amé ") * 20, "xx" if k % 2 else "yy", 0.5, "id", "c") for k in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, id string, c0 string")
+    net = language_id.learn(d, steps=60)
+    out = language_id.identify(d, net, "doc_id", "text", "id", "c0", "score")
+    assert out.columns == ["doc_id", "id", "c0", "lang_pred", "score"] and out.count() == 80
+    kept = language_id.speaking(d, net, 0.5)
+    assert kept.columns == d.columns and {(r.id, r.c0, r.score) for r in kept.collect()} == {("id", "c", 0.5)}
+
+
+def test_every_language_is_learned(spark):
+    """More languages than texts that fit: each keeps its share of the sample."""
+    rows = [(k, f"word{k % 70} " * 30, f"l{k % 70:02}", "s") for k in range(2100)]
+    net = language_id.learn(table(spark, rows), total=700, steps=1)
+    assert net.languages == [f"l{k:02}" for k in range(70)]
+
+
+def test_held_out_accuracy(spark):
+    """On the test tables, over documents that taught nothing."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    from textorium.llm.queries import op8_byte_network
+
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").filter("lang is not null and text is not null").select("doc_id", "lang").collect()}
+    got = [(r.lang_pred, lang[r.doc_id]) for r in op8_byte_network(spark, folder).filter("held_out and lang_pred <> 'und'").collect() if r.doc_id in lang]
+    assert sum(a == b for a, b in got) >= 0.98 * len(got) > 200
+
+
 def test_empty_tables(spark):
     d = table(spark, [])
     none = spark.createDataFrame([], "doc_id long, quality int")

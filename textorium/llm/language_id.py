@@ -3,8 +3,8 @@
 The network reads UTF-8 bytes (A-Z lower-cased), one gated unit layer in each direction, and gives every position
 a distribution over the languages; a document's probabilities are the mean over all of its positions. Texts are
 read whole, in consecutive windows of WINDOW bytes that start from a zero state. It is trained in numpy by
-backpropagation through time on a bounded sample: at most `sample` documents of each language, those with the least
-hash of their id, `pieces` random windows of each.
+backpropagation through time on a bounded sample: about `sample` documents of each language, drawn by the hash of
+their id, `pieces` random windows of each.
 
 Cases: a null text or one without letters is `und` with score 0; documents without a language teach nothing; if
 nothing can be learned every document is `und`; repeated rows get the same answer; an empty table gives an empty
@@ -16,7 +16,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HIDDEN = 8
@@ -195,30 +194,36 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
     return lang, score
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = 300, languages: int = 64, **fit_options) -> Network | None:
-    """A network fitted to a bounded sample: at most `sample` documents of each of the `languages` most frequent labels.
+def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", sample: int = 300, total: int = 20_000,
+          piece: int = 2000, **fit_options) -> Network | None:
+    """A network fitted to a bounded sample of the labelled documents, of all their languages.
 
-    Documents whose crc32(id) mod 3 is 1 are held out. Of a label's documents those with the least md5 of their
-    id are taken; what comes to the driver is at most sample x languages texts, cut to 2,000 characters at a
-    random place each.
+    Documents whose crc32(id) mod 3 is 1 are held out. Of a language's documents each is taken with the chance that
+    makes `sample` of them, or `total` divided by the languages if that is less, as the hash of its id falls: no
+    language is left out, and no group is ever sorted or gathered. What comes to the driver is about `total`
+    texts at most, each cut to `piece` characters at a random place.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     d = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.crc32(key) % 3 != 1))
-    top = d.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(languages)
-    names = [r["label"] for r in top.collect()]
-    pick = W.partitionBy("label").orderBy("key", "id", "h")
-    d = d.filter(F.col(label).isin(names)).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.md5(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    at = F.greatest(F.lit(0), F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - 2000)))
-    d = d.select("id", "label", "key", "h", F.substring("text", at + 1, F.lit(2000)).alias("text"))
-    rows = d.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= sample).select("label", "text", "rank").collect()
-    rows.sort(key=lambda r: (r["label"], r["rank"], r["text"]))
+    d = d.select(F.col(label).cast("string").alias("label"), F.md5(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    counts = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts:
+        return None
+    each = min(sample, max(1, total // len(counts)))
+    share = F.create_map(*(F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1.0, each / n))))
+    drawn = F.pmod(F.xxhash64("key", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
+    at = F.greatest(F.lit(0), F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - piece)))
+    d = d.filter(drawn < F.element_at(share, F.col("label"))).select("label", "key", "h", F.substring("text", at + 1, F.lit(piece)).alias("text"))
+    rows = d.dropDuplicates(["label", "key", "h"]).collect()
+    rows.sort(key=lambda r: (r["label"], r["key"], r["h"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows], **fit_options)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text: str = "text", *keep: str) -> DataFrame:
-    """(id, keep..., lang_pred, score), a row per row of docs; no shuffle."""
-    cols = [F.col(id_col).alias("id"), F.col(text).alias("text"), *keep]
-    d = docs.select(*cols)
+    """(id, keep..., lang_pred, score), a row per row of docs; no shuffle. Kept columns of the last two names give way to them."""
+    keep = [k for k in keep if k not in (id_col, "lang_pred", "score")]
+    names = [id_col, *keep]
+    d = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(names)), F.col(text).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -238,5 +243,15 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text:
             out["lang_pred"], out["score"] = lang, score
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text")
-    return d.mapInPandas(run, f"{fields}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    fields = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(names))
+    return d.mapInPandas(run, f"{fields}, lang_pred string, score double").toDF(*names, "lang_pred", "score")
+
+
+def speaking(docs: DataFrame, net: Network | None, least: float, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are in a learned language with a score of `least` or more; no shuffle."""
+    names = docs.columns
+    d = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(names)))
+    own = f"c{names.index(text)}"
+    named = identify(d.withColumn("text", F.col(own)), net, "c0", "text", *d.columns[1:])
+    kept = named.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(names)))
