@@ -20,10 +20,7 @@ SIMILAR, SHINGLE = 80, 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one of the learned languages."""
-    rest = [c for c in docs.columns if c != "text"]
-    named = language_id.identify(docs.withColumn("_text", F.col("text")), language_id.learn(docs), "doc_id", "text", *[c for c in rest if c != "doc_id"], "_text")
-    kept = named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumnRenamed("_text", "text").select(docs.columns)
+    return language_id.speaking(docs, language_id.learn(docs), LEAST_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
