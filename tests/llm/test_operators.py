@@ -110,6 +110,58 @@ def test_classifier(spark):
     assert all(r.kept for r in alone)
 
 
+def test_classifier_brute_force(spark):
+    """Counts, weights, posteriors without the document itself and verdicts, written out document by document."""
+    from math import exp, log
+
+    g = np.random.default_rng(12)
+    rows, labels = [], {}
+    for k in range(240):
+        host, path = f"h{k % 6}", f"p{k % 2}"
+        bad = g.random() < (0.95 if k % 6 < 2 else 0.1)
+        text = prose(k, 40, 3) if k % 3 else prose(k, int(g.integers(20, 80)), 3) if not bad else "BUY NOW!! $$ " * int(g.integers(5, 30))
+        rows.append((k, text, path, host))
+        if k % 2:
+            labels[k] = int(not bad)
+    d = table(spark, rows)
+    bins = {r.doc_id: r.bins for r in quality_classifier.features(d, "doc_id").collect()}
+    n, good = len(labels), sum(labels.values())
+    seen = {}
+    for i, y in labels.items():
+        for f, b in enumerate(bins[i]):
+            c = seen.setdefault((f, b), [0, 0])
+            c[0] += y
+            c[1] += 1
+    ratio = {k: log((a + 4 * m / n) / (good + 4)) - log((m - a + 4 * m / n) / (n - good + 4)) for k, (a, m) in seen.items()}
+    odds = {i: log(good / (n - good)) + sum(ratio.get((f, b), 0.0) for f, b in enumerate(x)) for i, x in bins.items()}
+    v = {i: min(1 - 1e-6, max(1e-6, labels.get(i, 1 / (1 + exp(-o))))) for i, o in odds.items()}
+
+    def weight(groups, mean):
+        total = sum(map(len, groups.values()))
+        chance = sum(mean(k) * (1 - mean(k)) * len(x) for k, x in groups.items()) / total
+        spread = sum(len(x) * (sum(x) / len(x) - mean(k)) ** 2 for k, x in groups.items()) / total - chance * len(groups) / total
+        return max(1.0, min(1e6, chance / spread - 1)) if chance > 0 and spread > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for i, _, path, host in rows:
+        hosts.setdefault(host, []).append(v[i])
+        paths.setdefault((host, path), []).append(v[i])
+    mean = sum(v.values()) / len(v)
+    wh = weight(hosts, lambda _: mean)
+    wp = weight(paths, lambda k: (sum(hosts[k[0]]) + mean * wh) / (len(hosts[k[0]]) + wh))
+    logit = lambda p: log(p) - log(1 - p)
+    got = {r.doc_id: r for r in quality_classifier.classify(d, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    turned = 0
+    for i, _, path, host in rows:
+        h = (sum(hosts[host]) - v[i] + mean * wh) / (len(hosts[host]) - 1 + wh)
+        p = (sum(paths[host, path]) - v[i] + h * wp) / (len(paths[host, path]) - 1 + wp)
+        score = 1 / (1 + exp(-(odds[i] + logit(p) - logit(mean))))
+        assert np.allclose([got[i].doc_score, got[i].host_score, got[i].path_score, got[i].score], [1 / (1 + exp(-odds[i])), h, p, score], atol=1e-9)
+        assert got[i].kept == (score >= 0.5)
+        turned += (odds[i] >= 0) != (score >= 0.5)
+    assert turned > 0  # sites decide where documents alone don't
+
+
 def test_sparse_site_is_shrunk(spark):
     rows = [(k, prose(k, 60, 3), "en", "big") for k in range(100)] + [(200, prose(7, 60, 3), "en", "tiny")]
     rows += [(300 + k, "SPAM!! $$ " * 30, "en", "bad") for k in range(60)]

@@ -3,8 +3,9 @@
 A document's own evidence is a naive Bayes score over binned text measures, whose likelihood ratios come from grouped
 counts over the labelled documents. Documents then speak for their host and for their path on that host: labels
 where there are any, the document score elsewhere. A host's posterior is shrunk towards the corpus, a path's
-towards its host, each by a beta prior whose weight is fitted to the spread of that level by moments. The site's
-excess over the corpus is added to the document's log odds.
+towards its host, each by a beta prior whose weight is fitted to the spread of that level by moments. A document's own
+say is taken out of its site's posteriors, so that it counts once, and the excess of its path's posterior over the
+corpus is added to the document's log odds: the sum is the posterior log odds of the hierarchy.
 
 Cases: a null text is measured as an empty one; null hosts and paths are groups of their own; several labels of a
 document are averaged, null labels ignored; without labels of both kinds the document evidence is neutral and
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import as_rows, words, written
 
 BINS = 10
-#: Cap of a site's say, in log odds: a site never outvotes clear evidence of the document itself.
-SITE_LIMIT = 2.0
 
 
 def _log_bin(x: Column, scale: float) -> Column:
@@ -88,7 +87,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: s
     """(id, doc_score, host_score, path_score, score, kept), a row per row of docs.
 
     Scores are probabilities of good quality: of the document's own evidence, the host's and the path's posterior
-    means, and all together.
+    means without the document itself, and all together.
     """
     feats = written(features(docs.select(F.col(id_col).alias("id"), F.col(host).alias("host"), F.col(path).alias("path"), "text"), "id", "host", "path"), "features")
     y = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.avg(label).alias("y"))
@@ -108,14 +107,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: s
     corpus = F.broadcast(hosts.agg((F.sum("y") / F.sum("n")).alias("mean")))  # one row
     at = hosts.join(corpus)
     weight = F.broadcast(at.agg(_shrunk(at, ["host"], F.col("mean")).alias("w")))  # one row
-    hosts = at.join(weight).select(F.col("host").alias("h"), "mean", ((F.col("y") + F.col("mean") * F.col("w")) / (F.col("n") + F.col("w"))).alias("host_score"))
+    posterior = lambda y, n, prior, w: (y + prior * w) / (n + w)
+    hosts = at.join(weight).select(
+        F.col("host").alias("h"), "mean", F.col("w").alias("w_host"), F.col("y").alias("y_host"), F.col("n").alias("n_host"),
+        posterior(F.col("y"), F.col("n"), F.col("mean"), F.col("w")).alias("m_host"),
+    )
     at = paths.join(hosts, paths["host"].eqNullSafe(hosts["h"]))
-    weight = F.broadcast(at.agg(_shrunk(at, ["host", "path"], F.col("host_score")).alias("w")))  # one row
-    sites = at.join(weight).select("h", F.col("path").alias("q"), "mean", "host_score", ((F.col("y") + F.col("host_score") * F.col("w")) / (F.col("n") + F.col("w"))).alias("path_score"))
+    weight = F.broadcast(at.agg(_shrunk(at, ["host", "path"], F.col("m_host")).alias("w_path")))  # one row
+    sites = at.join(weight).select("h", F.col("path").alias("q"), "mean", "w_host", "y_host", "n_host", "w_path", F.col("y").alias("y_path"), F.col("n").alias("n_path"))
 
-    d = scored.join(sites, scored["host"].eqNullSafe(sites["h"]) & scored["path"].eqNullSafe(sites["q"]))
-    site = F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), logit(F.col("path_score")) - logit(F.col("mean"))))
-    score = 1 / (1 + F.exp(-(F.col("odds") + site)))
+    d = says.join(sites, says["host"].eqNullSafe(sites["h"]) & says["path"].eqNullSafe(sites["q"]))
+    d = d.withColumn("host_score", posterior(F.col("y_host") - F.col("v"), F.col("n_host") - 1, F.col("mean"), F.col("w_host")))
+    d = d.withColumn("path_score", posterior(F.col("y_path") - F.col("v"), F.col("n_path") - 1, F.col("host_score"), F.col("w_path")))
+    score = 1 / (1 + F.exp(-(F.col("odds") + logit(F.col("path_score")) - logit(F.col("mean")))))
     return d.select(
         F.col("id").alias(id_col), F.col("p").alias("doc_score"), "host_score", "path_score", score.alias("score"), (score >= threshold).alias("kept")
     )
