@@ -219,6 +219,15 @@ def test_mixed_keeps_columns(spark, rows):
     assert set(d.columns) - {"spans"} < set(got.columns) and got.filter("taken <= 0").count() == 0
 
 
+def test_mixed_repeated_rows(spark):
+    """Each copy of a row gets the words of one row of the mix, and copies under other ids or sources their own."""
+    rows = [(k, prose(k, 30 + k), "en", f"s{k % 3}") for k in range(40)]
+    d = table(spark, rows + rows + [(100 + r[0], *r[1:]) for r in rows] + [(*r[:3], None) for r in rows])
+    want = mixing.mix(d).agg({"taken": "sum"}).first()[0]
+    got = mixing.mixed(d)
+    assert got.agg({"taken": "sum"}).first()[0] == want and got.count() == mixing.mix(d).filter("taken > 0").count()
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><ul class="main-menu"><li>Home</ul>
 <div id="sidebar-left">Links <a>x</a></div><div class="cookie-notice">We use</div><main><div class="content"><h2>Head &amp; line</h2>
 <p>First&nbsp;para <i>it</i>alic<script>x="</p></div>"</script> goes<br>on.<div class="advert box">Buy</div><ul><li>one<li>two</ul>
@@ -499,6 +508,18 @@ def test_buckets_of_every_size():
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_blocks_of_large_buckets(spark, monkeypatch):
+    """Members dealt to many blocks are linked as in one."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    g = np.random.default_rng(14)
+    fps = sorted({int(a) ^ (1 << int(b)) ^ (1 << int(c)) for a in g.integers(0, 1 << 62, 6) for b, c in g.integers(0, 62, (40, 2))})
+    e = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")))
+    root = {r.a: r.b for r in e.collect()}
+    want = plain_components(fps, fps, 2)
+    got = [root.get(f, f) for f in fps]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n) if i != 30] + [(5, 5), (2, 1)], "a long, b long")

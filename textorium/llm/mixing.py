@@ -6,7 +6,7 @@ highest quotients target / (2 s - 1), shard by shard, which gives integer quotas
 a seeded order and its quota takes that stream's blocks from the front, going round at most `max_repeats` times.
 
 Cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own and comes last;
-equal seeded positions (repeated rows) are ordered by id and size, so that reruns agree; an empty table gives an
+equal seeded positions (repeated rows) are ordered by id, size and text hash, so that reruns agree; an empty table gives an
 empty result; other columns of the input are ignored.
 
 The table of sources has a row per source (the weights' own dimension), so windows over all of it stay small;
@@ -71,7 +71,7 @@ def block_quotas(targets: DataFrame, block_words: int = 32, shards: int = 8, max
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", seed: int = 17, weights=WEIGHTS,
         share: float = 1.5, max_repeats: int = 2, block_words: int = 32, shards: int = 8) -> DataFrame:
-    """(id, th, size, source_size, target, taken, shard, spans), a row per row of docs; th is the text's XXH64.
+    """(id, th, of_source, size, source_size, target, taken, shard, spans), a row per row of docs; th is the text's XXH64.
 
     spans: for each time round, the words [start, end) of the document that the mix takes; shard: the one its first
     taken word falls in, null if none is taken.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", seed: i
     starts = starts.join(quotas, starts["source"].eqNullSafe(quotas["source"])).select(
         starts["source"].alias("s"), F.col("bucket").alias("b"), "start", "source_size", "target", "upto"
     )
-    within = W.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "id", "size", "th").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
     d = sizes.join(starts, sizes["source"].eqNullSafe(F.col("s")) & (sizes["bucket"] == F.col("b")))
     d = d.withColumn("lo", F.col("start") + F.col("offset"))
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", seed: i
     d = d.withColumn("ends", F.filter(ends, lambda e: e > 0))
     first_block = F.floor(F.col("lo") / block_words)
     return d.select(
-        F.col("id").alias(id_col), "th", "size", "source_size", "target",
+        F.col("id").alias(id_col), "th", sizes["source"].alias("of_source"), "size", "source_size", "target",
         F.aggregate("ends", F.lit(0).cast("long"), lambda a, e: a + e).alias("taken"),
         F.when(F.size("ends") > 0, F.size(F.filter("upto", lambda u: u <= first_block))).alias("shard"),
         F.transform("ends", lambda e: F.struct(F.lit(0).cast("long").alias("start"), e.alias("end"))).alias("spans"),
@@ -134,8 +134,15 @@ select doc_id, size, source_size, cast(target as double) as target, cast(least(s
 """
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the mix takes from, with all their columns and taken, shard and spans."""
-    m = mix(docs, id_col, **options).filter("taken > 0").select(F.col(id_col).alias("_own_id"), F.col("th").alias("_own_th"), "taken", "shard", "spans").dropDuplicates(["_own_id", "_own_th"])
-    d = docs.drop("taken", "shard", "spans").withColumn("_own_h", F.xxhash64("text"))
-    return d.join(m.hint("merge"), d[id_col].eqNullSafe(m["_own_id"]) & (d["_own_h"] == m["_own_th"])).drop("_own_h", "_own_id", "_own_th")
+def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes from, with all their columns and taken, shard and spans.
+
+    Rows of one id, text and source are told apart by a number, so that each gets the words of one row of the mix.
+    """
+    keys = ["_own_id", "_own_th", "_own_source"]
+    m = mix(docs, id_col, source, **options).select(F.col(id_col).alias(keys[0]), F.col("th").alias(keys[1]), F.col("of_source").alias(keys[2]), "taken", "shard", "spans")
+    m = m.withColumn("_own_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("taken")))).filter("taken > 0")
+    d = docs.drop("taken", "shard", "spans").withColumns({"_own_h": F.xxhash64("text")})
+    d = d.withColumn("_own_k", F.row_number().over(W.partitionBy(id_col, "_own_h", source).orderBy(F.lit(0))))
+    same = d[id_col].eqNullSafe(m[keys[0]]) & (d["_own_h"] == m[keys[1]]) & d[source].eqNullSafe(m[keys[2]]) & (d["_own_k"] == m["_own_n"])
+    return d.join(m.hint("merge"), same).drop("_own_h", "_own_k", "_own_n", *keys)

@@ -6,9 +6,9 @@ positions leave some v with even products for all of them, so two fingerprints w
 that some table keeps: no pair within the radius is missed.
 
 Equal fingerprints are one row before anything is compared, so that copies are never paired. A bucket's members are
-compared within the task that holds its list of distinct fingerprints (8 bytes each): pair by pair, or, once there
-are more members than a fingerprint has neighbours, by looking all neighbours up, which is linear; only a bucket's
-spanning links leave it. Components
+dealt to blocks of about BLOCK distinct fingerprints, one block for most buckets, and a task holds two blocks at a
+time: it compares pair by pair, or, once there are more members than a fingerprint has neighbours, by looking all
+neighbours up; only spanning links leave it. Components
 come from alternating large and small stars, each round written to the shared folder.
 
 Cases: a null or empty text has fingerprint 0, linked like any other; null ids take part but name a component only
@@ -32,6 +32,8 @@ from .common import written
 BITS = 64
 #: Rows of a block of pairs that are compared at once.
 FEW = 256
+#: Members of a block of a bucket.
+BLOCK = 1 << 13
 #: Rows that a task deals to the tables' buckets.
 DEALT = 1 << 20
 
@@ -128,7 +130,14 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     tables = F.array(*(F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)))
     # The distinct fingerprints are a small file that a few tasks would read whole, and each makes a row per table.
     fps = fps.select("fp").repartition(-(-max(1, fps.count()) * len(masks) // DEALT), "fp")
-    buckets = fps.select("fp", F.explode(tables).alias("t")).groupBy("t.v", "t.key").agg(F.collect_list("fp").alias("fps"))
+    rows = fps.select("fp", F.explode(tables).alias("t")).select("t.v", "t.key", "fp")
+    many = written(rows.groupBy("v", "key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # A member goes to every pair of blocks that its own is in.
+    rows = rows.join(many.hint("merge"), ["v", "key"]).withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("fp"), F.col("of")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    rows = rows.select("v", "key", "fp", F.explode(pair).alias("p"))
+    buckets = rows.groupBy("v", "key", "p.i", "p.j").agg(F.collect_list("fp").alias("fps"))
 
     def run(batches):
         for b in batches:
