@@ -31,7 +31,7 @@ from .simhash import components, covering_masks, keep_least
 #: Similarity in hundredths.
 SIMILAR = 80
 #: Radius that the masks cover in each of the fingerprints, their number and bits, and the most bits of all of them that a candidate pair differs in.
-RADIUS, PRINTS, POSITIONS, FAR = 5, 3, 56, 40
+RADIUS, PRINTS, POSITIONS, FAR = 5, 2, 56, 28
 #: Members of a block.
 BLOCK = 512
 #: Rows that a task deals to the tables' buckets.
@@ -88,26 +88,27 @@ def described(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFram
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(key, t, pivot): the members of all buckets of two texts or more, with a member that stands for the bucket."""
+    """(key, t): the members of all buckets of two texts or more."""
     masks = [m % (1 << POSITIONS) for m in covering_masks(RADIUS)]
     keys = F.array(*(F.xxhash64(F.lit(p * len(masks) + v), F.col("f")[p].bitwiseAND(F.lit(m))) for p in range(PRINTS) for v, m in enumerate(masks)))
     # The texts are small files that a few tasks would read whole, and each makes a row per table.
     texts = texts.select("t", "f").repartition(-(-max(1, texts.count()) * PRINTS * len(masks) // DEALT), "t")
     rows = texts.select("t", F.explode(keys).alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("times"), F.min(F.col("t").bitwiseXOR(F.lit(SALT))).alias("p")).filter("times > 1")
-    return rows.join(many.hint("merge"), "key").select("key", "t", F.col("p").bitwiseXOR(F.lit(SALT)).alias("pivot"))
+    many = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    return rows.join(many.hint("merge"), "key", "left_semi").select("key", "t")
 
 
-def allowed(a, b, similar: int):
-    """Whether two texts (n, f) may be similar by size and fingerprints."""
-    far = sum((F.bit_count(a["f"][p].bitwiseXOR(b["f"][p])) for p in range(PRINTS)), F.lit(0))
-    return (far <= FAR) & (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * similar)
+def allowed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """(a, b), distinct: the pairs of texts that may be similar by size and fingerprints."""
+    x, y = (texts.select(F.col("t").alias(k), F.col("n").alias(f"n{k}"), F.col("f").alias(f"f{k}")) for k in "ab")
+    p = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().join(x, "a").join(y, "b")
+    far = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(PRINTS)), F.lit(0))
+    return p.filter((far <= FAR) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar)).select("a", "b")
 
 
-def rest(members: DataFrame, texts: DataFrame, stars: DataFrame, similar: int) -> DataFrame:
-    """(a, b), distinct: candidate pairs of each bucket's texts that aren't in one component yet."""
-    of = texts.join(stars.toDF("t", "root"), "t", "left").select("t", "n", "f", F.coalesce("root", "t").alias("root"))
-    m = members.select("key", "t").join(of, "t")
+def rest(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each bucket's texts that aren't in one component yet, but for those of its largest component."""
+    m = members.join(stars.toDF("t", "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"))
     by_root = m.groupBy("key", "root").agg(F.count("*").alias("k"))
     b = by_root.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
     blocks = lambda k: F.ceil(k / BLOCK).cast("int")
@@ -118,27 +119,23 @@ def rest(members: DataFrame, texts: DataFrame, stars: DataFrame, similar: int) -
     at = lambda few, every, side: F.struct(few.alias("few"), every.alias("every"), F.lit(side).alias("side"))
     every = F.transform(each(F.col("of_few")), lambda i: at(i, place(F.col("of_all")), False))
     few = F.when(F.col("root") != F.col("top"), F.transform(each(F.col("of_all")), lambda i: at(place(F.col("of_few")), i, True)))
-    dealt = m.select("key", "t", "n", "f", "root", F.explode(F.concat(every, F.coalesce(few, F.array()))).alias("at"))
+    dealt = m.select("key", "t", "root", F.explode(F.concat(every, F.coalesce(few, F.array()))).alias("at"))
     # Each group holds the members of two blocks.
-    groups = dealt.groupBy("key", "at.few", "at.every").agg(F.collect_list(F.struct("at.side", "t", "n", "root", "f")).alias("m"))
+    groups = dealt.groupBy("key", "at.few", "at.every").agg(F.collect_list(F.struct("at.side", "t", "root")).alias("m"))
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
+            a, b = [np.array([], dtype=np.int64)], [np.array([], dtype=np.int64)]
             for m in batch["m"]:
                 side = np.array([x["side"] for x in m], dtype=bool)
-                t, n, root = (np.array([x[c] for x in m], dtype=np.int64) for c in ("t", "n", "root"))
-                f = np.array([x["f"] for x in m], dtype=np.int64)
+                t, root = (np.array([x[c] for x in m], dtype=np.int64) for c in ("t", "root"))
                 i, j = np.nonzero(root[side][:, None] != root[~side][None, :])
-                x, y = np.flatnonzero(side)[i], np.flatnonzero(~side)[j]
-                ok = np.bitwise_count(f[x] ^ f[y]).sum(axis=1) <= FAR
-                ok &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * similar
-                a.append(np.maximum(t[x], t[y])[ok])
-                b.append(np.minimum(t[x], t[y])[ok])
-            pairs = pd.DataFrame({"a": np.concatenate([*a, np.array([], dtype=np.int64)]), "b": np.concatenate([*b, np.array([], dtype=np.int64)])})
-            yield pairs.drop_duplicates()
+                x, y = t[side][i], t[~side][j]
+                a.append(np.maximum(x, y))
+                b.append(np.minimum(x, y))
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    return groups.select("m").mapInPandas(run, "a long, b long").distinct()
+    return groups.select("m").mapInPandas(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, described_docs: DataFrame, wanted: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
@@ -152,7 +149,10 @@ def shingle_sets(docs: DataFrame, described_docs: DataFrame, wanted: DataFrame,
     own = own.groupBy("t").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "th")).alias("k")).select("t", F.col("k.id").alias("i"), F.col("k.th").alias("h"))
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     d = d.join(own.hint("merge"), d["id"].eqNullSafe(own["i"]) & (d["th"] == own["h"])).select("t", "text")
-    return d.mapInPandas(run, "t long, grams array<long>").dropDuplicates(["t"])
+    out = d.mapInPandas(run, "t long, grams array<long>")
+    if described_docs.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # else a shuffle of sets for nothing
+        out = out.dropDuplicates(["t"])
+    return out
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -167,13 +167,10 @@ def links(docs: DataFrame, d: DataFrame, id_col: str, text: str, shingle: int, s
     texts = written(d.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f")), "texts")
     members = written(buckets(texts), "bucket-members")
     sets = written(shingle_sets(docs, d, members.select("t").distinct(), id_col, text, shingle), "shingle-sets")
-    x, y = texts.alias("x"), texts.alias("y")
-    pairs = members.filter("t <> pivot").select(F.greatest("t", "pivot").alias("a"), F.least("t", "pivot").alias("b")).distinct()
-    pairs = pairs.join(x, F.col("a") == F.col("x.t")).join(y, F.col("b") == F.col("y.t"))
-    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "f")}
-    pairs = pairs.filter(allowed(side("x"), side("y"), similar)).select("a", "b")
-    stars = components(similar_pairs(pairs, sets, similar))
-    more = similar_pairs(rest(members, texts, stars, similar), sets, similar)
+    pivots = members.groupBy("key").agg(F.min(F.col("t").bitwiseXOR(F.lit(SALT))).alias("p"))
+    pairs = members.join(pivots.hint("merge"), "key").select(F.col("t").alias("a"), F.col("p").bitwiseXOR(F.lit(SALT)).alias("b"))
+    stars = components(similar_pairs(allowed(pairs, texts, similar), sets, similar))
+    more = similar_pairs(allowed(rest(members, stars), texts, similar), sets, similar)
     return components(more.union(stars))
 
 
