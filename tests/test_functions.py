@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,6 +160,13 @@ def test_actors(spark):
     assert [r.kind for r in rows if r.span == "Greenpeace Indonesia"] == ["ORG"]
     a = actors.attribution(s.filter("kind in ('QUOTE', 'REPORTED')"), s.filter("kind in ('PERSON', 'ORG')")).collect()
     assert sum(r.speaker is not None for r in a) >= 2
+    t += ' Mr Hat Man added: "we all went home". Then "nobody was there at all" ended it.'
+    d = spark.createDataFrame([("d", t), ("e", None)], "doc_id string, text string")
+    s = actors.spans(d)
+    a = {r.span: r for r in actors.attribution(s.filter("kind in ('QUOTE', 'REPORTED')"), s.filter("kind in ('PERSON', 'ORG')"), docs=d).collect()}
+    assert (a["Coal is vital for growth"].speaker, a["Coal is vital for growth"].attribution_confidence) == ("Energy Minister Arifin Tasrif", 0.85)
+    assert (a["we all went home"].speaker, a["we all went home"].attribution_confidence) == ("Mr Hat Man", 0.85)
+    assert (a["nobody was there at all"].speaker, a["nobody was there at all"].attribution_confidence) == ("Mr Hat Man", 0.55)
 
 
 def test_within_sentence(spark):
@@ -312,3 +320,40 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) from f").first()[0] == 3
+
+
+def test_actor_counts_of_all_documents(spark):
+    """Every document counts, whatever its language and characters, against plain regular expressions."""
+    import os
+    import re
+    from collections import Counter
+
+    from textorium.operators import actors
+    from textorium.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    want = Counter()
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect():
+        want.update(m[1] for m in re.finditer(actors.CAPITALISED, r.text or ""))
+    got = {r.actor: r.n for r in registry.QUERIES["d14_actor_counts"](spark, folder).collect()}
+    assert got == dict(want) and len(got) > 10
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Several blocks of queries give what one gives."""
+    g = np.random.default_rng(2)
+    v = spark.createDataFrame([(k, [float(x) for x in g.normal(size=4)]) for k in range(60)] + [(99, [0.0] * 4)], "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    order = lambda d: sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in d.collect())
+    want = order(retrieval.top_k(q, v, 7))
+    assert len(want) == 12 * 7
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    assert order(retrieval.top_k(q, v, 7)) == want
+
+
+def test_clean_binds_its_steps_once(spark):
+    d = spark.createDataFrame([(1, "  keep this LICENSE all gone "), (2, "spam spam"), (3, None), (4, "a!!b")], "id int, t string")
+    got = {r.id: r.c for r in d.select("id", text.clean("t", ["License", "this"], ["!!", "("], {"spam": 2}).alias("c")).collect()}
+    assert got == {1: "keep", 2: None, 3: None, 4: None}

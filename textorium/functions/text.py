@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(text_of(c), r"^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_count(c: Column | str) -> Column:
     return F.regexp_count(text_of(c), F.lit(r"\S+")).cast("long")
 
@@ -104,21 +109,29 @@ def organisation(c: Column | str, short: str, full: Sequence[str]) -> Column:
 
 def clean(c: Column | str, trim_after: Sequence[str] = (), exclude: Sequence[str] = (), min_hits: dict[str, int] | None = None) -> Column:
     """Text up to the first trim marker, stripped; null if an exclude pattern or too many phrase hits drop it."""
-    t = strip(c)
-    for marker in trim_after:
-        at = F.locate(marker.lower(), F.lower(t))
-        t = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
-    t = strip(t)
-    drop = F.lit(False)
+    patterns = []
     for p in exclude:
         try:
             re.compile(p)
         except re.error:
             continue
-        drop = drop | t.rlike(f"(?im){p}")
-    for phrase, n in (min_hits or {}).items():
-        drop = drop | (F.regexp_count(F.lower(t), F.lit(quoted(phrase.lower()))) >= max(1, n))
-    return F.when(~drop & (t != ""), t)
+        patterns.append(p)
+
+    def cut(t: Column, markers: Sequence[str]) -> Column:
+        if not markers:
+            return t
+        at = F.locate(markers[0].lower(), F.lower(t))
+        return let(F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t), lambda x: cut(x, markers[1:]))
+
+    def kept(t: Column) -> Column:
+        drop = F.lit(False)
+        for p in patterns:
+            drop = drop | t.rlike(f"(?im){p}")
+        for phrase, n in (min_hits or {}).items():
+            drop = drop | (F.regexp_count(F.lower(t), F.lit(quoted(phrase.lower()))) >= max(1, n))
+        return F.when(~drop & (t != ""), t)
+
+    return let(strip(let(strip(c), lambda t: cut(t, trim_after))), kept)
 
 
 def valid_content(c: Column | str, least_chars: int = 100, least_words: int = 10) -> Column:

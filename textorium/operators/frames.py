@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, word_count
+from ..functions.text import shortened, tokens, word_count
 
 #: A lexical default for the annotator: a frame's probability is its share of the frames' words in a chunk.
 LEXICON = {"access": ("the", "der", "le", "el"), "burden": ("and", "und", "et", "y"), "change": ("in", "en", "dans", "to"), "duty": ("of", "von", "des", "la")}
@@ -16,10 +16,14 @@ LEXICON = {"access": ("the", "der", "le", "el"), "burden": ("and", "und", "et",
 
 def lexical_scores(chunks: DataFrame, *keep: str, text: str = "chunk", lexicon: dict[str, Sequence[str]] = LEXICON) -> DataFrame:
     """(keep, frame_idx, frame, p, w): w is the chunk's words, one at least. Blank chunks don't count."""
-    d = chunks.filter(word_count(text) > 0).select(*keep, tokens(text).alias("_t"), F.greatest(F.lit(1), word_count(text)).alias("w"))
-    count = lambda ws: F.size(F.filter("_t", lambda t: t.isin(*ws)))
+    listed = [w for ws in lexicon.values() for w in ws]
+    # Tokens are split once, in an explode of one row that later columns can't be folded into, and only listed ones are counted.
+    once = F.struct(F.filter(tokens(text), lambda t: t.isin(*listed)).alias("t"), word_count(text).alias("w"))
+    d = chunks.select(*keep, F.explode(F.array(once)).alias("_x")).filter("_x.w > 0")
+    count = lambda ws: F.size(F.filter("_x.t", lambda t: t.isin(*ws)))
     hits = F.array(*map(count, lexicon.values()))
-    d = d.withColumn("_hits", hits).withColumn("_all", F.aggregate("_hits", F.lit(0), lambda a, x: a + x))
+    d = d.select(*keep, F.col("_x.w").alias("w"), F.explode(F.array(hits)).alias("_hits"))
+    d = d.withColumn("_all", sum((F.col("_hits")[k] for k in range(len(lexicon))), F.lit(0)))
     names = F.array(*map(F.lit, lexicon))
     d = d.select(*keep, "w", "_all", F.posexplode("_hits").alias("frame_idx", "_n"), names.alias("_names"))
     p = F.when(F.col("_all") > 0, F.col("_n") / F.col("_all")).otherwise(0.0)
@@ -55,6 +59,16 @@ def top_frames(docs: DataFrame, keys: Sequence[str], k: int = 3, positive: bool
     return d.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, F.col("rank").cast("long").alias("rank"), "frame", "value")
 
 
+def examples(scores: DataFrame, k: int, order: Sequence[str], text: str = "chunk", length: int = 160) -> DataFrame:
+    """(frame, rank, order..., p, example): each frame's k best passages with p over 0, ties by `order`, cut at a word.
+
+    Each task keeps its own k best before anything is shuffled.
+    """
+    rank = F.row_number().over(W.partitionBy("frame").orderBy(F.desc("p"), *order))
+    best = scores.filter("p > 0").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.select("frame", F.col("rank").cast("long").alias("rank"), *order, "p", shortened(text, length).alias("example"))
+
+
 def as_maps(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, frame_scores): the map form, for the edges of the library."""
     pairs = F.array_sort(F.collect_list(F.struct("frame", "value")))

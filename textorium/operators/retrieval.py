@@ -1,7 +1,8 @@
 """Exact vector search and two-stage rescoring.
 
-Query blocks are broadcast and scored against the corpus in numpy, which keeps the best k of each batch; only
-those travel. A query set beyond BLOCK rows is run in blocks, so that what is broadcast has a fixed bound.
+Query blocks are broadcast and scored against the corpus in numpy, which keeps the best k of each task; only those
+travel. A query set beyond BLOCK rows is run block by block, each block's best written to the shared folder before the
+next is read, so that driver and executors hold one block at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Queries of a broadcast block.
 BLOCK = 4096
 
@@ -24,37 +27,48 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
 
     Vectors without length and queries without length match nothing.
     """
-    n = queries.count()
-    key = F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-n // BLOCK))))
-    parts = []
+    blocks = max(1, -(-queries.count() // BLOCK))
+    key = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    kinds = f"q {queries.schema[query_id].dataType.simpleString()}, i {vectors.schema[vector_id].dataType.simpleString()}, s double"
     spark = vectors.sparkSession
-    for b in range(max(1, -(-n // BLOCK))):
+    parts = []
+    for b in range(blocks):
         rows = queries.filter(key == b).select(query_id, vector).collect()  # a block of the stated query set
         ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, length, out=np.full_like(q, np.nan), where=length > 0)
+        q = _directions(np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0))
         held = spark.sparkContext.broadcast((ids, q))
 
         def run(batches, held=held):
             ids, q = held.value
+            best: list[tuple] = [(np.empty(0), np.empty(0))] * len(ids)
             for x in batches:
                 if not len(x) or not len(ids):
                     continue
-                v = np.stack(x["v"].to_numpy()).astype(np.float64)
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0).T
-                vid = x["i"].to_numpy()
+                s, vid = q @ _directions(np.stack(x["v"].to_numpy()).astype(np.float64)).T, x["i"].to_numpy()
                 for j, row in enumerate(s):
-                    order = np.lexsort((vid, -row))[:k]
-                    order = order[~np.isnan(row[order])]
-                    yield pd.DataFrame({"q": ids[j], "i": vid[order], "s": row[order]})
+                    ok = ~np.isnan(row)
+                    score, near = np.append(best[j][0], row[ok]), np.append(best[j][1], vid[ok]) if len(best[j][1]) else vid[ok]
+                    order = np.lexsort((near, -score))[:k]
+                    best[j] = score[order], near[order]
+            for j, (score, near) in enumerate(best):
+                if len(score):
+                    yield pd.DataFrame({"q": ids[j], "i": near, "s": score})
+
+        part = vectors.select(F.col(vector_id).alias("i"), F.col(vector).alias("v")).mapInPandas(run, kinds)
+        parts.append(part if blocks == 1 else written(_best(part, k), "nearest"))
+    d = _best(reduce(DataFrame.union, parts), k)
+    return d.select(F.col("q").alias(query_id), F.col("i").alias(vector_id), F.col("s").alias("score"), "rank")
+
+
+def _directions(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; those without length to NaN."""
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0)
+
 
-        kinds = f"q {queries.schema[query_id].dataType.simpleString()}, i {vectors.schema[vector_id].dataType.simpleString()}, s double"
-        parts.append(vectors.select(F.col(vector_id).alias("i"), F.col(vector).alias("v")).mapInPandas(run, kinds))
-    d = reduce(DataFrame.union, parts)
+def _best(d: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "i"))
-    return d.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(vector_id), F.col("s").alias("score"), "rank")
+    return d.select("q", "i", "s").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def first_n(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int, name: str = "rank") -> DataFrame:

@@ -133,9 +133,9 @@ def c01_first_source_wins(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim("source"), F.lit("")), "lang", F.lit("none")).alias("place"))
 
 
-@query("""select o.o_orderkey, coalesce(c.c_name, '') as title from (select * from orders where o_orderkey % 7 = 0) o left join (select * from customer where c_custkey % 2 = 0) c on c_custkey = o_custkey""")
+@query("""select o.o_orderkey, coalesce(c.c_name, '') as title from orders o left join (select * from customer where c_acctbal >= 0) c on c_custkey = o_custkey""")
 def c07_c18_left_join_coalesce(spark, d):
-    o, c = table(spark, d, "orders").filter("o_orderkey % 7 = 0"), table(spark, d, "customer").filter("c_custkey % 2 = 0")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").filter("c_acctbal >= 0")  # debtors' orders have no title
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("title"))
 
 
@@ -416,16 +416,16 @@ def c12_overlap_join(spark, d):
 
 @query()
 def i11_i12_i13_c11_attributions(spark, d):
-    s = actors.spans(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    s = actors.spans(docs)
     claims, mentions = s.filter(F.col("kind").isin("QUOTE", "REPORTED")), s.filter(F.col("kind").isin("PERSON", "ORG"))
-    return actors.attribution(claims, mentions)
+    return actors.attribution(claims, mentions, docs=docs)
 
 
-@query(r"""with m as (select doc_id, unnest(regexp_extract_all(text, '\b([A-Z][\w\-'']+(?:\s+[A-Z][\w\-'']+)+)\b', 1)) as actor from (select doc_id, text from documents where lang = 'en' and not regexp_matches(text, '[^\x00-\x7F]')))
-select actor, cast(count(*) as bigint) as n from m group by actor""")
+@query()  # SQL's word characters are ASCII's only, the operator's are Unicode's: held against plain Python in the tests
 def d14_actor_counts(spark, d):
-    t = table(spark, d, "documents").filter("lang = 'en'").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return actors.spans(t).filter(F.col("kind").isin("PERSON", "ORG")).groupBy(F.col("span").alias("actor")).agg(F.count("*").alias("n"))
+    s = actors.spans(table(spark, d, "documents").select("doc_id", "text"))
+    return s.filter(F.col("kind").isin("PERSON", "ORG")).groupBy(F.col("span").alias("actor")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id from documents order by md5('7|' || doc_id), doc_id limit 40")

@@ -123,6 +123,15 @@ def e06_top_stories(spark, d):
     return rounded(w.filter("rank <= 5"), "value").select("frame", "rank", "doc_id", "published_at", "value")
 
 
+@query(rf"""with {SCORES}, r as (select *, row_number() over (partition by frame order by p desc, doc_id, chunk_id) as rank from scores where p > 0)
+select frame, cast(rank as bigint) as rank, r.doc_id, r.chunk_id, round(p, 6) as p,
+  case when length(chunk) <= 160 then chunk else regexp_replace(substr(chunk, 1, 160), '\s\S*$', '') || '...' end as example
+from r join chunks c on c.doc_id = r.doc_id and c.chunk_id = r.chunk_id where rank <= 5""")
+def e07_frame_examples(spark, d):
+    s = frames.lexical_scores(chunks(spark, d), "doc_id", "chunk_id", "chunk")
+    return rounded(frames.examples(s, 5, ["doc_id", "chunk_id"]), "p")
+
+
 DAILY = """, daily as (select cast(published_at as date) as day, frame, sum(value * total_weight) / sum(total_weight) as value from weighted where any_value group by all),
 ends as (select min(day) as a, max(day) as b from daily),
 grid as (select cast(unnest(generate_series(a, b, interval 1 day)) as date) as day from ends),
