@@ -269,9 +269,14 @@ def h43_h44_shortened(spark, d):
     return table(spark, d, "documents").select("doc_id", text.shortened("text", 60).alias("short"), F.md5("text").alias("key"), F.sha2("text", 256).alias("sha"))
 
 
-@query(f"with {CHUNKS} select doc_id, cast(count(*) as bigint) as n from chunks where regexp_replace(lower(regexp_extract(chunk, '^\\s*(\\S+)', 1)), '[.,!?:;]+$', '') in ('but', 'thus', 'hence', 'though') group by doc_id")
+_CONNECTORS = ", ".join(f"'{w}'" for w in text.CONNECTORS)
+
+
+@query(rf"""with {CHUNKS} select doc_id, cast(count(*) as bigint) as n_chunks, cast(count_if(regexp_replace(lower(regexp_extract(chunk, '^\s*(\S+)', 1)), '[.,!?:;]+$', '') in ({_CONNECTORS})) as bigint) as n
+from chunks group by doc_id""")
 def i05_connectors(spark, d):
-    return chunks(spark, d).filter(text.starts_with_connector("chunk")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    c = chunks(spark, d)
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(text.starts_with_connector("chunk")).alias("n"))
 
 
 @query(f"""with {CHUNKS}, n as (select doc_id, floor((row_number() over (partition by doc_id order by chunk_id) - 1) / 8) as batch from chunks)
