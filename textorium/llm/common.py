@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import table, written  # noqa: F401  shared with the rest of the library
+
 #: White space of the word rule: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def words(text: Column | str) -> Column:
     """Words between runs of white space; an empty array for null."""
     text = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='textorium-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder, so that later reads don't depend on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/textorium/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def as_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones never clash with an operator's own."""
     return docs.select(*columns)
