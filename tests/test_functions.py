@@ -357,3 +357,9 @@ def test_clean_binds_its_steps_once(spark):
     d = spark.createDataFrame([(1, "  keep this LICENSE all gone "), (2, "spam spam"), (3, None), (4, "a!!b")], "id int, t string")
     got = {r.id: r.c for r in d.select("id", text.clean("t", ["License", "this"], ["!!", "("], {"spam": 2}).alias("c")).collect()}
     assert got == {1: "keep", 2: None, 3: None, 4: None}
+
+
+@pytest.mark.parametrize("n, k", [(0, 3), (2, 5), (17, 5), (100, 7)])
+def test_folds_have_exact_sizes(spark, n, k):
+    got = [r["count"] for r in sampling.folds(spark.range(n), k, 3, "id").groupBy("fold").count().orderBy("fold").collect()]
+    assert got == [x for x in (n // k + (i < n % k) for i in range(k)) if x]

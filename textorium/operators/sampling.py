@@ -41,15 +41,28 @@ def stratified(rows: DataFrame, group: str, quotas: DataFrame, seed: int, keys:
     d = rows.withColumn("_o", order(seed, *keys)).withColumn("_b", F.substring("_o", 1, 2))
     sizes = d.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_before", before).drop("_n").join(F.broadcast(quotas.select(group, "quota")), group)
+    starts = sizes.withColumn("_before", before).drop("_n").join(quotas.select(group, "quota"), group)
     d = d.join(starts, [group, "_b"]).filter(F.col("_before") < F.col("quota"))
     place = F.col("_before") + F.row_number().over(W.partitionBy(group, "_b").orderBy("_o", *keys))
     return d.withColumn("_place", place).filter(F.col("_place") <= F.col("quota")).select(rows.columns)
 
 
 def folds(rows: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
-    """Adds fold 0 .. k - 1 by the seeded hash: sizes n // k or one more on average, no sort."""
-    return rows.withColumn("fold", F.pmod(F.conv(F.substring(order(seed, *keys), 1, 8), 16, 10).cast("long"), F.lit(k)))
+    """Adds fold 0 .. k - 1 in seeded order: n // k rows each, one more in the first n % k folds.
+
+    A row's place is the count of rows in earlier hash buckets, of which there are 4,096 at any size, and its place in
+    its own; equal keys and hashes are repeated rows, whose order doesn't matter.
+    """
+    d = rows.withColumn("_o", order(seed, *keys)).withColumn("_b", F.substring("_o", 1, 3))
+    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
+    every = W.partitionBy(F.lit(0))
+    before = F.sum("_n").over(every.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    starts = F.broadcast(sizes.select("_b", before.alias("_before"), F.sum("_n").over(every).alias("_all")))  # 4,096 rows at most
+    d = d.join(starts, "_b").withColumn("_p", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_o", *keys)) - 1)
+    small, more = F.floor(F.col("_all") / k), F.pmod(F.col("_all"), F.lit(k))
+    large = more * (small + 1)
+    fold = F.when(F.col("_p") < large, F.floor(F.col("_p") / (small + 1))).otherwise(more + F.floor((F.col("_p") - large) / F.greatest(small, F.lit(1))))
+    return d.withColumn("fold", fold.cast("long")).select(*rows.columns, "fold")
 
 
 def split(rows: DataFrame, seed: int, *keys: str, dev: float = 0.1, test: float = 0.1) -> DataFrame:

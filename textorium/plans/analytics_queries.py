@@ -456,7 +456,7 @@ def k07_top_up(spark, d):
     return sampling.take(left, 30, 9, "doc_id")
 
 
-@query("with f as (select ('0x' || substr(md5('3|' || doc_id), 1, 8))::bigint % 5 as fold, length(text) as n from documents) select fold, cast(count(*) as bigint) as n, round(avg(n), 6) as mean_chars from f group by fold")
+@query("with f as (select doc_id, ntile(5) over (order by md5('3|' || doc_id), doc_id) - 1 as fold, length(text) as n from documents) select fold, cast(count(*) as bigint) as n, round(avg(n), 6) as mean_chars from f group by fold")
 def d21_folds(spark, d):
     f = sampling.folds(table(spark, d, "documents"), 5, 3, "doc_id")
     return rounded(f.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean_chars")), "mean_chars")
