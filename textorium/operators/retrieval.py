@@ -81,6 +81,12 @@ def two_stage(candidates: DataFrame, by: str, item: str, first: Column, second:
     return d.withColumn("stage2", second).withColumn("rank2", F.row_number().over(W.partitionBy(by).orderBy(F.desc("stage2"), item)))
 
 
+def realigned(candidates: DataFrame, scores: DataFrame, item: str, score: str, position: str) -> DataFrame:
+    """Candidates with the score of their item that a rescorer gave first; null if it gave none."""
+    first = scores.groupBy(item).agg(F.min_by(score, position).alias(score))
+    return candidates.join(first, item, "left")
+
+
 def min_max(value: Column, *by: str) -> Column:
     """Scaled to [0, 1] among the rows with the same keys; 0.5 if all are equal."""
     w = W.partitionBy(*by)

@@ -181,6 +181,24 @@ def j10_h34_two_stage_matching(spark, d):
     return rounded(r.select("query_id", "vec_id", "stage1", "stage2", F.col("rank2").cast("long").alias("rank2")), "stage1", "stage2")
 
 
+@query("""with first as (select user_id as vec_id, arg_min(value, event_id) as score from events group by user_id)
+select vec_id, round(score, 6) as score from embeddings left join first using (vec_id)""")
+def c20_realigned_scores(spark, d):
+    given = table(spark, d, "events").select(F.col("user_id").alias("vec_id"), F.col("value").alias("score"), "event_id")
+    return rounded(retrieval.realigned(table(spark, d, "embeddings").select("vec_id"), given, "vec_id", "score", "event_id"), "score")
+
+
+@query("""with s as (select source, lang, list(distinct label) as found from (select source, lang, case when quality = 1 then 'good' else 'poor' end as label from documents join labels using (doc_id)
+  union all select source, lang, case when toxic = 1 then 'toxic' else 'mild' end from documents join labels using (doc_id)) group by source, lang)
+select source, array_to_string(list_sort(list_distinct(flatten(list(found)))), ',') as keywords from s group by source""")
+def g07_keyword_union(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "source", "lang").join(table(spark, d, "labels"), "doc_id")
+    said = F.array(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "toxic").otherwise("mild"))
+    by_lang = t.select("source", "lang", F.explode(said).alias("k")).groupBy("source", "lang").agg(F.collect_set("k").alias("found"))
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("found"))))
+    return by_lang.groupBy("source").agg(F.array_join(union, ",").alias("keywords"))
+
+
 @query(f"""with s as (select v.vec_id, {COS} as c from embeddings q, embeddings v where q.vec_id < 4) select vec_id, cast(count_if(c >= 0.2) as bigint) as above, round(max(c), 6) as best from s group by vec_id""")
 def j07_reference_similarity(spark, d):
     e = table(spark, d, "embeddings")
