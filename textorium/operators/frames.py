@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import shortened, tokens, word_count
+from ..functions.text import quoted, shortened, text_of, word_count
 
 #: A lexical default for the annotator: a frame's probability is its share of the frames' words in a chunk.
 LEXICON = {"access": ("the", "der", "le", "el"), "burden": ("and", "und", "et", "y"), "change": ("in", "en", "dans", "to"), "duty": ("of", "von", "des", "la")}
@@ -17,8 +17,9 @@ LEXICON = {"access": ("the", "der", "le", "el"), "burden": ("and", "und", "et",
 def lexical_scores(chunks: DataFrame, *keep: str, text: str = "chunk", lexicon: dict[str, Sequence[str]] = LEXICON) -> DataFrame:
     """(keep, frame_idx, frame, p, w): w is the chunk's words, one at least. Blank chunks don't count."""
     listed = [w for ws in lexicon.values() for w in ws]
-    # Tokens are split once, in an explode of one row that later columns can't be folded into, and only listed ones are counted.
-    once = F.struct(F.filter(tokens(text), lambda t: t.isin(*listed)).alias("t"), word_count(text).alias("w"))
+    # One pass finds the listed tokens, in an explode of one row that later columns can't be folded into.
+    whole = rf"(?<![\p{{L}}\p{{N}}])({'|'.join(sorted(map(quoted, listed), key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
+    once = F.struct(F.regexp_extract_all(F.lower(text_of(text)), F.lit(whole), 1).alias("t"), word_count(text).alias("w"))
     d = chunks.select(*keep, F.explode(F.array(once)).alias("_x")).filter("_x.w > 0")
     count = lambda ws: F.size(F.filter("_x.t", lambda t: t.isin(*ws)))
     hits = F.array(*map(count, lexicon.values()))
