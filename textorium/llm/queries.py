@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import collocations, decontamination, html_text, language_id, line_dedup, merkle, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from . import collocations, decontamination, html_text, language_id, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 from .common import table
 
 
@@ -60,6 +60,11 @@ def op11_pcy_collocations(spark, d):
     return collocations.collocations(table(spark, d, "documents"))
 
 
+def op12_log_bilinear(spark, d):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return language_model.scores(table(spark, d, "documents"), held_out)
+
+
 def op13_merkle_manifest(spark, d):
     out = merkle.verified(table(spark, d, "documents"))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
@@ -70,7 +75,7 @@ QUERIES = {
     for f in (
         op1_hierarchical_bayes, op2_host_rules, op3_sainte_lague_mix, op4_line_blocks, op5_recursive_secrets,
         op6_line_chunk_dedup, op7_spaced_seeds, op8_byte_network, op9_covering_simhash,
-        op10_suffix_arrays, op11_pcy_collocations, op13_merkle_manifest,
+        op10_suffix_arrays, op11_pcy_collocations, op12_log_bilinear, op13_merkle_manifest,
     )
 }
 
