@@ -33,7 +33,7 @@ from .common import written
 #: Buckets of a pass and of a segment of them.
 BUCKETS, SEGMENT = 1 << 22, 1 << 16
 #: Words of a chunk, and distinct words after which a task's dictionary starts anew.
-CHUNK, DISTINCT = 1 << 21, 1 << 20
+CHUNK, DISTINCT = 1 << 19, 1 << 18
 ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 ROWS = "lang string, phrase string, h long, n long, segment int, counts binary"
 
