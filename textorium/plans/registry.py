@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics_queries, frame_queries, text_queries  # noqa: F401
+from . import analytics_queries, frame_queries, store_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 flagship = frame_queries.flagship_monthly_frames
