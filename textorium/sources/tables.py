@@ -30,3 +30,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/textorium/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Empties a table that `written` returned, once nothing reads it any more: its files give way to an empty table."""
+    if files := df.inputFiles():
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
