@@ -7,7 +7,7 @@ phrases share buckets; that only costs a count, since a phrase is frequent by it
 phrases than buckets most bits get set, and pruning is then by frequent halves only.
 
 A task counts its own texts in chunks of bounded size, so that a phrase leaves it once a chunk, however common it is; bucket
-counters leave it saturated, a byte a bucket, and are added up segment by segment in streams.
+counters leave it saturated, those above zero with their places, and are added up segment by segment in streams.
 
 A phrase's score is the least over its cuts of 10^6 a^2 / (l r), floored, in exact decimals. A phrase inside a longer one
 that has `covered` hundredths of its occurrences goes.
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 #: Buckets of a pass and of a segment of them.
-BUCKETS, SEGMENT = 1 << 22, 1 << 16
+BUCKETS, SEGMENT = 1 << 26, 1 << 16
 #: Words of a chunk, and distinct words after which a task's dictionary starts anew.
 CHUNK, DISTINCT = 1 << 19, 1 << 18
 ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
@@ -43,6 +43,7 @@ class Words:
 
     def __init__(self):
         self.names, self.groups, self.hashes, self.of = [""], [""], [0], {}
+        self.counts = np.zeros(0, dtype=np.int64)
 
     def numbers(self, group: str, text: str) -> list[int]:
         d = self.of.get(group)
@@ -75,9 +76,11 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
     """ROWS: partial counts of phrases of k words, and of buckets of those of k + 1. halves, common: broadcast bitmaps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half, bucket = (np.unpackbits(np.frombuffer(x.value, dtype=np.uint8), bitorder="little").view(bool) if x else None for x in (halves, common))
+        half, bucket = (np.frombuffer(x.value, dtype=np.uint8) if x else None for x in (halves, common))
         place = lambda h: (h >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
-        counters = np.zeros(BUCKETS, dtype=np.uint32) if k < longest else None
+        has = lambda bits, at: (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        kind = np.uint8 if least < 256 else np.uint32
+        counters = np.zeros(BUCKETS, dtype=kind) if k < longest else None
 
         def rows(words: Words, at: list[np.ndarray], h, n) -> pd.DataFrame:
             names, at = words.names, [a.tolist() for a in at]
@@ -93,17 +96,21 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
             word = alive
             for j in range(1, k):
                 if j == k - 1 and half is not None:
-                    alive = alive & half[place(h)]
+                    alive = alive & has(half, place(h))
                     both = alive[:-1] & alive[1:]
                 else:
                     both = alive[:-1] & word[j:]
                 h, alive = joined(h[:-1], single[j:]), both
             if k > 1:
-                alive = alive & bucket[place(h)]
+                alive = alive & has(bucket, place(h))
             if counters is not None and len(h) > 1:
                 up = np.nonzero(alive[:-1] & alive[1:])[0]
-                np.add(counters, np.bincount(place(joined(h[up], single[up + k])), minlength=BUCKETS).astype(np.uint32), out=counters)
+                at, n = np.unique(place(joined(h[up], single[up + k])), return_counts=True)
+                counters[at] = np.minimum(counters[at] + n, least)
             p = np.nonzero(alive)[0]
+            if k == 1:  # words are counted as long as the dictionary lasts
+                words.counts = np.bincount(ids, minlength=len(words.names)) + np.pad(words.counts, (0, len(words.names) - len(words.counts)))
+                return None
             code = ids[p]
             for j in range(1, k):
                 if j > 1:
@@ -113,6 +120,11 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
             p = p[first]
             return rows(words, [ids[p + j] for j in range(k)], h[p], n)
 
+        def single_words(words: Words) -> Iterator[pd.DataFrame]:
+            for a in range(1, len(words.counts), CHUNK // 4):
+                at = np.arange(a, min(a + CHUNK // 4, len(words.counts)))
+                yield rows(words, [at], np.array(words.hashes, dtype=np.uint64)[at], words.counts[at])
+
         words, held, size = Words(), [], 0
         for b in batches:
             for group, text in zip(b["lang"], b["text"]):
@@ -123,35 +135,63 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
                         yield some
                     held, size = [], 0
                     if len(words.names) >= DISTINCT:
+                        yield from single_words(words)
                         words = Words()
         if held and (last := counted(words, np.concatenate(held))) is not None:
             yield last
+        yield from single_words(words)
         if counters is not None:
-            few = np.minimum(counters, least).astype(np.uint8 if least < 256 else np.uint32)
-            parts = [(s // SEGMENT, few[s : s + SEGMENT].tobytes()) for s in range(0, BUCKETS, SEGMENT) if few[s : s + SEGMENT].any()]
+            parts = []
+            for s in range(0, BUCKETS, SEGMENT):
+                if len(at := np.flatnonzero(counters[s : s + SEGMENT])):
+                    parts.append((s // SEGMENT, at.astype(np.uint16).tobytes() + counters[s + at].tobytes()))
             if parts:
                 yield pd.DataFrame({"lang": None, "phrase": None, "h": pd.array([pd.NA] * len(parts), dtype="Int64"), "n": pd.array([pd.NA] * len(parts), dtype="Int64"), "segment": [s for s, _ in parts], "counts": [c for _, c in parts]})
 
     return written(docs.mapInPandas(run, ROWS), f"phrases-{k}")
 
 
+def _packed(bits: dict[int, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"segment": list(bits), "bits": [np.packbits(b, bitorder="little").tobytes() for b in bits.values()]})
+
+
+def _bitmap(segments: DataFrame, run) -> bytes:
+    """BUCKETS bits from the segments that run makes of rows dealt by segment."""
+    out = np.zeros(BUCKETS // 8, dtype=np.uint8)
+    for s, bits in segments.repartition("segment").mapInPandas(run, "segment int, bits binary").collect():
+        out[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return out.tobytes()
+
+
 def common_buckets(scanned: DataFrame, least: int) -> bytes:
-    """The bitmap of the buckets that reach the least count; BUCKETS bits, however many tasks counted."""
+    """The bitmap of the buckets that reach the least count, however many tasks counted."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for s, c in zip(b["segment"], b["counts"]):
-                c = np.frombuffer(c, dtype=kind).astype(np.uint32)
-                total[s] = np.minimum(total[s] + c, least) if s in total else c
-        yield pd.DataFrame({"segment": list(total), "bits": [np.packbits(c >= least, bitorder="little").tobytes() for c in total.values()]})
+                n = len(c) // (2 + kind().itemsize)
+                at, more = np.frombuffer(c, dtype=np.uint16, count=n), np.frombuffer(c, dtype=kind, offset=2 * n)
+                own = total.setdefault(s, np.zeros(SEGMENT, dtype=kind))
+                own[at] = np.minimum(own[at].astype(np.uint64) + more, least)
+        yield _packed({s: c >= least for s, c in total.items()})
 
-    parts = scanned.filter("segment is not null").select("segment", "counts").repartition("segment").mapInPandas(run, "segment int, bits binary").collect()
-    out = np.zeros(BUCKETS // 8, dtype=np.uint8)
-    for s, bits in parts:
-        out[s * SEGMENT // 8 : (s + 1) * SEGMENT // 8] = np.frombuffer(bits, dtype=np.uint8)
-    return out.tobytes()
+    return _bitmap(scanned.filter("segment is not null").select("segment", "counts"), run)
+
+
+def phrase_buckets(phrases: DataFrame) -> bytes:
+    """The bitmap of the buckets of phrases."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, at in b.groupby("segment")["at"]:
+                total.setdefault(s, np.zeros(SEGMENT, dtype=bool))[at.to_numpy()] = True
+        yield _packed(total)
+
+    place = F.shiftrightunsigned("h", 64 - (BUCKETS - 1).bit_length())
+    return _bitmap(phrases.select(place.alias("p")).select((F.col("p") / SEGMENT).cast("int").alias("segment"), (F.col("p") % SEGMENT).cast("int").alias("at")), run)
 
 
 def frequent(scanned: DataFrame, least: int) -> DataFrame:
@@ -160,16 +200,6 @@ def frequent(scanned: DataFrame, least: int) -> DataFrame:
     return written(d.filter(F.col("n") >= least), "frequent")
 
 
-def bitmap(phrases: DataFrame) -> bytes:
-    """The bitmap of the buckets of phrases, in words of 64 bits that Spark puts together."""
-    place = F.shiftrightunsigned("h", 64 - (BUCKETS - 1).bit_length())
-    d = phrases.select(place.alias("place")).selectExpr("shiftright(place, 6) as at", "shiftleft(1L, cast(place & 63 as int)) as bit")
-    out = np.zeros(BUCKETS // 64, dtype=np.int64)
-    for at, bits in d.groupBy("at").agg(F.bit_or("bit")).collect():
-        out[at] = bits
-    return out.tobytes()
-
-
 def counts(docs: DataFrame, text: str = "text", group: str = "lang", longest: int = 3, least: int = 10) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length (lang, phrase, h, n) of the frequent phrases."""
     spark = docs.sparkSession
@@ -181,7 +211,8 @@ def counts(docs: DataFrame, text: str = "text", group: str = "lang", longest: in
             totals = written(scanned.filter("segment is null").groupBy("lang").agg(F.sum("n").alias("n")), "words-by-group")
         out.append(frequent(scanned, least))
         if k < longest:
-            halves, common = (spark.sparkContext.broadcast(x) for x in (bitmap(out[-1]), common_buckets(scanned, least)))
+            halves, common = (spark.sparkContext.broadcast(x) for x in (phrase_buckets(out[-1]), common_buckets(scanned, least)))
+        released(scanned)
     return totals, out
 
 

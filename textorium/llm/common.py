@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import table, written  # noqa: F401  shared with the rest of the library
+from ..sources.tables import released, table, written  # noqa: F401  shared with the rest of the library
 
 #: White space of the word rule: space and the control characters from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
