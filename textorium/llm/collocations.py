@@ -33,7 +33,7 @@ from .common import released, written
 #: Buckets of a pass and of a segment of them.
 BUCKETS, SEGMENT = 1 << 26, 1 << 16
 #: Words of a chunk, and distinct words after which a task's dictionary starts anew.
-CHUNK, DISTINCT = 1 << 19, 1 << 18
+CHUNK, DISTINCT = 1 << 18, 1 << 17
 ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 ROWS = "lang string, phrase string, h long, n long, segment int, counts binary"
 
@@ -43,7 +43,7 @@ class Words:
 
     def __init__(self):
         self.names, self.groups, self.hashes, self.of = [""], [""], [0], {}
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.counts, self.table = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
     def numbers(self, group: str, text: str) -> list[int]:
         d = self.of.get(group)
@@ -91,7 +91,9 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
         def counted(words: Words, ids: np.ndarray) -> pd.DataFrame | None:
             if len(ids) < k:
                 return None
-            single = np.array(words.hashes, dtype=np.uint64)[ids]
+            if len(words.table) < len(words.hashes):
+                words.table = np.array(words.hashes, dtype=np.uint64)
+            single = words.table[ids]
             h, alive = single, ids != 0
             word = alive
             for j in range(1, k):
@@ -111,11 +113,11 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
             if k == 1:  # words are counted as long as the dictionary lasts
                 words.counts = np.bincount(ids, minlength=len(words.names)) + np.pad(words.counts, (0, len(words.names) - len(words.counts)))
                 return None
-            code = ids[p]
+            code = ids[p].astype(np.int64)
             for j in range(1, k):
                 if j > 1:
                     code = np.unique(code, return_inverse=True)[1]
-                code = code << 32 | ids[p + j]
+                code = code << 32 | ids[p + j].astype(np.int64)
             _, first, n = np.unique(code, return_index=True, return_counts=True)
             p = p[first]
             return rows(words, [ids[p + j] for j in range(k)], h[p], n)
@@ -123,12 +125,12 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
         def single_words(words: Words) -> Iterator[pd.DataFrame]:
             for a in range(1, len(words.counts), CHUNK // 4):
                 at = np.arange(a, min(a + CHUNK // 4, len(words.counts)))
-                yield rows(words, [at], np.array(words.hashes, dtype=np.uint64)[at], words.counts[at])
+                yield rows(words, [at], words.table[at], words.counts[at])
 
         words, held, size = Words(), [], 0
         for b in batches:
             for group, text in zip(b["lang"], b["text"]):
-                held.append(np.array([*words.numbers(group, text), 0], dtype=np.int64))
+                held.append(np.array([*words.numbers(group, text), 0], dtype=np.int32))
                 size += len(held[-1])
                 if size >= CHUNK or len(words.names) >= DISTINCT:
                     if (some := counted(words, np.concatenate(held))) is not None:
