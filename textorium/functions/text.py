@@ -167,3 +167,23 @@ def html_plain(c: Column | str) -> Column:
 def iso_date_in(c: Column | str) -> Column:
     """The first YYYY-MM-DD in a text that is a date."""
     return F.date_format(F.try_to_date(F.nullif(F.regexp_extract(text_of(c), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd"), "yyyy-MM-dd")
+
+
+# Dates as they are looked for in pages, in this order, with the formats that each is read by.
+DATES = (
+    (r"(\d{4}-\d{2}-\d{2})", ("yyyy-MM-dd",)),
+    (r"(\d{4}/\d{2}/\d{2})", ("yyyy/MM/dd",)),
+    (r"(\d{2}/\d{2}/\d{4})", ("MM/dd/yyyy",)),
+    (r"(\d{1,2}\s+\w+\s+\d{4})", ("d MMMM yyyy",)),
+    (r"(\w+\s+\d{1,2},?\s+\d{4})", ("MMMM d, yyyy", "MMMM d yyyy")),
+)
+
+
+def date_in(c: Column | str) -> Column:
+    """The first date of a text as YYYY-MM-DD, by the first pattern that finds one; null without any."""
+    found = []
+    for pattern, formats in DATES:
+        read = lambda x: F.coalesce(*(F.try_to_date(F.initcap(F.regexp_replace(x, r"\s+", " ")), f) for f in formats))  # noqa: B023, E731
+        days = F.transform(F.regexp_extract_all(text_of(c), F.lit(pattern), F.lit(1)), read)
+        found.append(F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0)))
+    return F.date_format(F.coalesce(*found), "yyyy-MM-dd")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,19 @@ def counts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
         (100 * F.count_if("passed") / F.count("*")).alias("success"),
     )
+
+
+def captured(rows: DataFrame, column: str, step: Callable, result: str = "string") -> DataFrame:
+    """Rows with `result` and `error`: step(value) of each, or what it raised as `Type: message`; no row fails the job."""
+
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                out.append((step(v), None))
+            except Exception as e:  # the row carries it
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate(("result", "error"))})
+
+    done = F.pandas_udf(run, f"result {result}, error string")
+    return rows.withColumn("_done", done(column)).select(*rows.columns, "_done.result", "_done.error")

@@ -82,9 +82,9 @@ def two_stage(candidates: DataFrame, by: str, item: str, first: Column, second:
 
 
 def realigned(candidates: DataFrame, scores: DataFrame, item: str, score: str, position: str) -> DataFrame:
-    """Candidates with the score of their item that a rescorer gave first; null if it gave none."""
+    """Candidates with the score of their item that a rescorer gave first; zero if it gave none."""
     first = scores.groupBy(item).agg(F.min_by(score, position).alias(score))
-    return candidates.join(first, item, "left")
+    return candidates.join(first, item, "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
 
 
 def min_max(value: Column, *by: str) -> Column:

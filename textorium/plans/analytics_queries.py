@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, vectors
-from ..operators import actors, dedup, filters, incremental, metrics, retrieval, rollup, sampling, wordcount
+from ..operators import actors, dedup, evaluation, filters, incremental, metrics, retrieval, rollup, sampling, wordcount
 from ..sources.tables import table
 from .base import DOCS, documents, query, rounded
 
@@ -182,7 +184,7 @@ def j10_h34_two_stage_matching(spark, d):
 
 
 @query("""with first as (select user_id as vec_id, arg_min(value, event_id) as score from events group by user_id)
-select vec_id, round(score, 6) as score from embeddings left join first using (vec_id)""")
+select vec_id, round(coalesce(score, 0), 6) as score from embeddings left join first using (vec_id)""")
 def c20_realigned_scores(spark, d):
     given = table(spark, d, "events").select(F.col("user_id").alias("vec_id"), F.col("value").alias("score"), "event_id")
     return rounded(retrieval.realigned(table(spark, d, "embeddings").select("vec_id"), given, "vec_id", "score", "event_id"), "score")
@@ -225,13 +227,17 @@ def h31_min_max(spark, d):
     return rounded(table(spark, d, "events").select("event_id", retrieval.min_max(F.col("value"), "user_id").alias("scaled")), "scaled")
 
 
-@query("select event_id, case when event_id % 3 = 0 then 'entails' when event_id % 3 = 1 then 'neutral' else 'contradicts' end as label, cast(case when event_id % 3 = 0 then 1.0 when event_id % 3 = 1 then 0.25 else 0.1 end as double) as score from events")
+@query("""select conv_id, turn, case when contains(lower(text), 'thank') then 'thank' when contains(lower(text), 'the') then 'the' end as label,
+cast(case when contains(lower(text), 'thank') or contains(lower(text), 'the') then 0.1 else 0.0 end as double) as score from conversations
+union all select doc_id, -1, case when toxic = 1 then 'toxic' else 'mild' end, least(1.0, greatest(0.0, quality * 1.7 - 0.2))::double from labels""")
 def h37_label_parse(spark, d):
-    e = table(spark, d, "events")
-    k = F.col("event_id") % 3
-    said = F.when(k == 0, '{"label": "entails", "score": 1.7}').when(k == 1, '{"label": "neutral", "confidence": 0.25}').otherwise("I think it contradicts this")
-    p = vectors.parsed_label(said, ["entails", "contradicts"])
-    return e.select("event_id", p["label"].alias("label"), p["score"].alias("score"))
+    """Answers in words (conversations) and in JSON, with scores beyond 0 and 1 (labels)."""
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("answer"))
+    label = F.when(F.col("toxic") == 1, "toxic").otherwise("mild")
+    structured = F.to_json(F.struct(label.alias("label"), (F.col("quality") * 1.7 - 0.2).alias("confidence")))
+    both = said.unionByName(table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.lit(-1).alias("turn"), structured.alias("answer")))
+    p = vectors.parsed_label(F.col("answer"), ["thank", "the"])
+    return both.select("conv_id", "turn", p["label"].alias("label"), p["score"].alias("score"))
 
 
 @query("""select doc_id, cast(2.0 * quality - toxic as double) as utility, quality between 0 and 1 and toxic between 0 and 1 as valid, case when toxic >= quality then 'toxic' else 'quality' end as best from labels""")
@@ -288,6 +294,44 @@ def d19_d20_ranking_metrics(spark, d):
     return rounded(metrics.ranking(s, "lang", "y", "s"), "precision", "recall", "f1", "auc").select("lang", "precision", "recall", "f1", "auc", "support")
 
 
+@query("""with s as (select source, list(distinct lang) as tasks from documents where source is not null group by source), k as (select n_chars // 500 as size, list(distinct lang) as tasks from documents where n_chars is not null group by 1)
+select source, size, len(list_intersect(s.tasks, k.tasks))::bigint as shared from s, k where list_has_any(s.tasks, k.tasks)""")
+def c15_scorers_by_datasets(spark, d):
+    """Pairs of sources and length classes that have a language in common."""
+    t = table(spark, d, "documents")
+    s = t.filter("source is not null").groupBy("source").agg(F.collect_set("lang").alias("tasks"))
+    k = t.filter("n_chars is not null").groupBy(F.expr("n_chars div 500").alias("size")).agg(F.collect_set("lang").alias("tasks"))
+    return evaluation.matched(s, k, "source", "size")
+
+
+@query("""with p as (select source, coalesce(lang, 'und') as lang, l.doc_id, quality, toxic from labels l join documents using (doc_id)),
+r as (select source as scorer, lang as dataset, doc_id, case quality when 1 then 'good' else 'poor' end as gold, case when toxic = 1 then 'poor' else 'good' end as said from p),
+e as (select scorer, dataset, unnest(list_distinct([gold, said])) as l, gold, said from r),
+c as (select scorer, dataset, l, count_if(gold = l and said = l) as tp, count_if(gold = l or said = l) as either from e group by all),
+m as (select scorer, dataset, avg(2.0 * tp / (tp + either)) as macro_f1 from c group by all)
+select scorer, dataset, n, round(accuracy, 6) as accuracy, round(macro_f1, 6) as macro_f1 from m join (select scorer, dataset, count(*) as n, avg((gold = said)::int) as accuracy from r group by all) using (scorer, dataset)""")
+def j21_scorer_evaluation(spark, d):
+    """Labels of toxicity as predictions of quality, of every source (scorer) over its items in every language (dataset)."""
+    p = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source", F.coalesce("lang", F.lit("und")).alias("lang")), "doc_id")
+    p = p.select(F.col("source").alias("scorer"), F.concat_ws("|", "source", "lang").alias("dataset"), "lang", "doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"), F.when(F.col("toxic") == 1, "poor").otherwise("good").alias("predicted"))
+    out = evaluation.evaluated(p.select("scorer", "dataset", "doc_id", "predicted"), p.select("dataset", "doc_id", "label"), "scorer", "dataset", "doc_id")
+    return rounded(out, "accuracy", "macro_f1").select("scorer", F.element_at(F.split("dataset", r"\|"), -1).alias("dataset"), "n", "accuracy", "macro_f1")
+
+
+@query("""with s as (select l_orderkey, l_linenumber, l_linestatus, (l_discount - 0.05) * 40 as logit, l_returnflag = 'N' as truth from lineitem),
+o as (select l_linestatus, truth::int as t, (1 / (1 + exp(-logit)) >= 0.6)::int as a, (row_number() over (partition by l_orderkey order by logit desc, l_linenumber) <= 2)::int as b from s),
+k as (select l_linestatus, 'threshold' as rule, t, a as y from o union all select l_linestatus, 'top' as rule, t, b from o),
+c as (select l_linestatus, rule, sum(t * y)::double as tp, sum(y)::double as called, sum(t)::double as real from k group by all)
+select rule, round(avg(tp / called), 6) as macro_precision, round(avg(tp / real), 6) as macro_recall, round(avg(2 * tp / (called + real)), 6) as macro_f1,
+round(sum(tp) / sum(called), 6) as micro_precision, round(sum(tp) / sum(real), 6) as micro_recall, round(2 * sum(tp) / (sum(called) + sum(real)), 6) as micro_f1 from c group by rule""")
+def d20_multi_label(spark, d):
+    """Sigmoids of scores against a threshold, and the two best of each order, over line states."""
+    s = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", ((F.col("l_discount") - 0.05) * 40).cast("double").alias("logit"), (F.col("l_returnflag") == "N").cast("int").alias("truth"))
+    ways = {"threshold": evaluation.binarised(s, ["l_orderkey"], "logit", 0.6), "top": evaluation.binarised(s, ["l_orderkey"], "logit", top=2)}
+    out = [evaluation.multi_label(x, "l_linestatus", "truth", "on").withColumn("rule", F.lit(k)) for k, x in ways.items()]
+    return rounded(out[0].union(out[1]), *(f"{a}_{m}" for a in ("macro", "micro") for m in ("precision", "recall", "f1")))
+
+
 @query("with a as (select o_orderpriority as task, o_orderstatus as name, avg(o_totalprice) as v from orders group by all) select task, cast(count(*) as bigint) as n, arg_min(name, (-v, name)) as best, round(avg(v), 4) as mean from a group by task")
 def d44_c15_best_per_task(spark, d):
     a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("name")).agg(F.avg("o_totalprice").alias("v"))
@@ -491,7 +535,14 @@ def j19_j20_label_matrix(spark, d):
     return long.groupBy("lang").pivot("label", ["quality", "toxic"]).agg(F.sum("v"))
 
 
-@query("select event_type, cast(count_if(value > 50) as bigint) as passed, cast(count(*) as bigint) as total from events group by event_type")
+@query(r"""with w as (select doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)', 1) as w, text is null as nothing from documents)
+select doc_id, length(regexp_extract(w, '[^a-z].*', 0))::bigint as result, nothing or not regexp_matches(w, '[^a-z]') as failed from w where not (nothing or not regexp_matches(w, '[^a-z]'))
+union all select doc_id, null, true from w where nothing or not regexp_matches(w, '[^a-z]')""")
 def b30_error_capture(spark, d):
-    e = table(spark, d, "events").withColumn("v", F.col("value").cast("string").try_cast("double"))
-    return filters.split(e, F.col("v") > 50).groupBy("event_type").agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"))
+    """A step that fails on texts whose first word has small letters only, and on null texts."""
+
+    def tail(t):
+        return len(re.search("[^a-z].*", re.search(r"[^\x20\x09-\x0D]+", t or "")[0])[0])
+
+    out = filters.captured(table(spark, d, "documents").select("doc_id", "text"), "text", tail, "long")
+    return out.select("doc_id", "result", F.col("error").isNotNull().alias("failed"))

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import annotation, chunking, pages
+from ..functions import tables
+from ..operators import aggregation, annotation, chunking, frames, pages
 from ..sources.stores import Store, embedded, fingerprinted
 from ..sources.tables import shared_folder, table
-from .base import CHUNKS, SCORES, documents, query, scores
+from .base import CHUNKS, KEYS, OCCURRING, SCORES, WEIGHTED, documents, query, rounded, scores
 
 
 @query("with " + CHUNKS + """, per as (select doc_id, count(*) as n from chunks group by doc_id), labelled as (select distinct doc_id from labels),
@@ -57,3 +58,35 @@ def i16_i17_annotated_spans(spark, d):
 def i08_main_content(spark, d):
     """Each page's content by the best of its candidates."""
     return pages.main_content(table(spark, d, "pages"), "page_id", "url")
+
+
+@query("with " + CHUNKS + " select doc_id, cast(chunk_id as bigint) as chunk_id, chunk from chunks")
+def m03_chunks_lateral(spark, d):
+    """The sentence chunks by a table function in SQL."""
+    tables.register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("textorium_documents")
+    return spark.sql("select d.doc_id, cast(c.chunk_id as bigint) as chunk_id, c.chunk from textorium_documents d, lateral text_chunks(d.text, 'sentences') c")
+
+
+@query()
+def m07_spans_lateral(spark, d):
+    """Mentions and claims by a table function in SQL."""
+    tables.register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("textorium_documents")
+    return spark.sql("select d.doc_id, s.* from textorium_documents d, lateral text_spans(d.text) s")
+
+
+def _strategy(spark, d, rule):
+    r = aggregation.aggregate(scores(spark, d).select(*KEYS, "frame_idx", "p", F.col("w").cast("double").alias("w")), KEYS, rule)
+    return aggregation.by_frame(r, KEYS, list(frames.LEXICON))
+
+
+@query("with " + WEIGHTED + " select doc_id, corpus, published_at, frame, round(value, 9) as value, total_weight, any_value from weighted")
+def m02_strategy_weighted(spark, d):
+    out = _strategy(spark, d, aggregation.Weighted(len(frames.LEXICON), 0.2))
+    return rounded(out, "value", digits=9).select("doc_id", "corpus", "published_at", "frame", "value", "total_weight", "any_value")
+
+
+@query("with " + OCCURRING + " select doc_id, frame, value, total_weight, any_value from occurring")
+def m02_strategy_occurring(spark, d):
+    return _strategy(spark, d, aggregation.Occurring(len(frames.LEXICON), 0.2)).select("doc_id", "frame", "value", "total_weight", "any_value")

@@ -258,10 +258,21 @@ def h39_h40_html(spark, d):
     return table(spark, d, "pages").select("page_id", text.html_title("html").alias("title"), F.sha1(text.html_plain("html")).alias("plain"))
 
 
-@query(f"with {DOCS} select doc_id, published_at as found from docs")
+@query(r"""with p as (select page_id, html from pages union all select -1 - doc_id, text || ' ' || case doc_id % 3 when 0 then strftime(date '2023-01-01' + cast(doc_id * 7 % 730 as integer), '%d/%m/%Y')
+  when 1 then strftime(date '2023-01-01' + cast(doc_id * 7 % 730 as integer), '%-d %B %Y') else strftime(date '2023-01-01' + cast(doc_id * 7 % 730 as integer), '%B %-d, %Y') end from documents),
+f as (select page_id, list_concat(list_transform(regexp_extract_all(html, '(\d{4}-\d{2}-\d{2})', 1), lambda x: try_strptime(x, '%Y-%m-%d')),
+  list_transform(regexp_extract_all(html, '(\d{4}/\d{2}/\d{2})', 1), lambda x: try_strptime(x, '%Y/%m/%d')), list_transform(regexp_extract_all(html, '(\d{2}/\d{2}/\d{4})', 1), lambda x: try_strptime(x, '%m/%d/%Y')),
+  list_transform(regexp_extract_all(html, '(\d{1,2}\s+\w+\s+\d{4})', 1), lambda x: try_strptime(regexp_replace(x, '\s+', ' ', 'g'), '%d %B %Y')),
+  list_transform(regexp_extract_all(html, '(\w+\s+\d{1,2},?\s+\d{4})', 1), lambda x: try_strptime(regexp_replace(x, '\s+', ' ', 'g'), ['%B %d, %Y', '%B %d %Y']))) as l from p)
+select page_id, strftime(list_filter(l, lambda x: x is not null)[1], '%Y-%m-%d') as found from f""")
 def h41_date_in_text(spark, d):
-    t = documents(spark, d)
-    return t.select("doc_id", text.iso_date_in(F.concat(F.lit("on "), "published_at", F.lit(" it was said"))).alias("found"))
+    """Dates in whole pages, and in texts that end with one in words, or by slashes with the day first (which reads as no date beyond the 12th)."""
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 7 % 730).cast("int"))
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.date_format(day, "dd/MM/yyyy")).when(k == 1, F.date_format(day, "d MMMM yyyy")).otherwise(F.date_format(day, "MMMM d, yyyy"))
+    p = table(spark, d, "pages").select("page_id", "html")
+    p = p.union(table(spark, d, "documents").select(-1 - F.col("doc_id"), F.concat("text", F.lit(" "), said)))
+    return p.select("page_id", text.date_in("html").alias("found"))
 
 
 @query(r"select doc_id, case when length(text) <= 60 then text else regexp_replace(substr(text, 1, 60), '\s\S*$', '') || '...' end as short, md5(text) as key, sha256(text) as sha from documents")
