@@ -319,7 +319,7 @@ def j21_scorer_evaluation(spark, d):
 
 
 @query("""with s as (select l_orderkey, l_linenumber, l_linestatus, (l_discount - 0.05) * 40 as logit, l_returnflag = 'N' as truth from lineitem),
-o as (select l_linestatus, truth::int as t, (1 / (1 + exp(-logit)) >= 0.6)::int as a, (row_number() over (partition by l_orderkey order by logit desc, l_linenumber) <= 2)::int as b from s),
+o as (select l_linestatus, truth::int as t, (1 / (1 + exp(-logit)) >= 0.6)::int as a, (row_number() over (partition by l_orderkey order by logit desc, l_linenumber, l_linestatus, truth) <= 2)::int as b from s),
 k as (select l_linestatus, 'threshold' as rule, t, a as y from o union all select l_linestatus, 'top' as rule, t, b from o),
 c as (select l_linestatus, rule, sum(t * y)::double as tp, sum(y)::double as called, sum(t)::double as real from k group by all)
 select rule, round(avg(tp / called), 6) as macro_precision, round(avg(tp / real), 6) as macro_recall, round(avg(2 * tp / (called + real)), 6) as macro_f1,
