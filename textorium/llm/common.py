@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +23,17 @@ def words(text: Column | str) -> Column:
 def as_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones never clash with an operator's own."""
     return docs.select(*columns)
+
+
+def by_key(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Frames of a sorted partition that hold all rows of each of their keys."""
+    held = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if not len(b):
+            continue
+        last = (b[list(keys)] == b[list(keys)].iloc[-1]).all(axis=1)
+        yield b[~last]
+        held = b[last]
+    if held is not None:
+        yield held

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_key, written
 
 #: Levels of a tile: of the rounds that merge peaks, and of the joins of proofs.
 TILE = 10
@@ -124,20 +124,6 @@ def node_records(leaves: DataFrame, fanout: int = 2) -> DataFrame:
     return out
 
 
-def by_key(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
-    """Frames of a sorted partition that hold all rows of each of their keys."""
-    held = None
-    for b in batches:
-        b = b if held is None else pd.concat([held, b], ignore_index=True)
-        if not len(b):
-            continue
-        last = (b[list(keys)] == b[list(keys)].iloc[-1]).all(axis=1)
-        yield b[~last]
-        held = b[last]
-    if held is not None:
-        yield held
-
-
 def tile_proofs(nodes: DataFrame, fanout: int = 2) -> DataFrame:
     """(g, t, at, up, top, path): for each leaf `at` of a tile of layer t its siblings within the tile, and the tile's place.
 

@@ -7,10 +7,12 @@ pairs a few bits beyond it: the guarantee is one of bits, and recall at a Jaccar
 that differ in at most FAR bits of all fingerprints and whose sizes allow the similarity are held against their
 whole sets of shingles; only pairs of `similar` hundredths or more are linked.
 
-A bucket's pairs are never all made. First every member is held against the bucket's pivot, which joins most of a
-large group through counts and joins on keys alone. What is left are buckets whose members are not yet in one
-component: there, members outside the largest component are held against all others, block by block, so
-that no task holds more than two blocks however large the bucket is.
+A bucket's pairs are never all made. Every member is held against its bucket's pivot by min-wise sketches of both; where
+they say LOOSE or more, the two are kin. A pair of Jaccard 0.8 is about equally similar to any third text (its distance
+is a metric), so either both are kin of the pivot, or both are under CLOSE and stay for the bucket's next pivot. All that kinship reaches
+is a clan, and each clan's texts are dealt once, whatever the number of tables they met in, to pairs of blocks of bounded size, where
+every pair is held exactly against the other by bits of its common shingles. Only spanning links of similar texts leave a block. What
+ROUNDS pivots leave in a bucket, which is kin to none of them, is compared pair by pair, each pair in the first table it meets in.
 
 Cases: words as in operator 9; a text of fewer words than a shingle is one shingle, a null or empty one is a
 copy of the others without words; texts of the same words are one before anything is compared; a null id comes after
@@ -25,18 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_key, written
 from .simhash import components, covering_masks, keep_least
 
 #: Similarity in hundredths.
 SIMILAR = 80
 #: Radius that the masks cover in each of the fingerprints, their number and bits, and the most bits of all of them that a candidate pair differs in.
 RADIUS, PRINTS, POSITIONS, FAR = 5, 2, 56, 28
-#: Members of a block.
-BLOCK = 512
+#: Members of a block, and their shingles.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 18
+#: Numbers of a sketch, a byte each; what makes texts kin, and what keeps them for another pivot; pivots of a bucket.
+SKETCH, LOOSE, CLOSE, ROUNDS = 64, 0.1, 0.5, 3
 #: Rows that a task deals to the tables' buckets.
 DEALT = 1 << 20
-SALT = 0x5BD1E995A3C59AC3 >> 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,31 +74,121 @@ def prints(text: str | None) -> list[int]:
     return out
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of each of SKETCH minima over the shingles' hashes, each under a mixing of its own."""
+    if not len(hashes):
+        return bytes(SKETCH)
+    out = np.empty(SKETCH, dtype=np.uint8)
+    for k in range(SKETCH):
+        h = (hashes ^ np.uint64((k + 1) * 0x9FB21C651E98DF25 & (1 << 64) - 1)) * MIX
+        out[k] = (h ^ (h >> np.uint64(32))).min() & np.uint64(255)
+    return out.tobytes()
+
+
 def described(docs: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
-    """(id, th, t, n, f), a row per row of docs; th tells texts apart, t their words; n: distinct shingles; f: fingerprints. No shuffle."""
+    """(id, th, t, n, f, s), a row per row of docs; th tells texts apart, t their words; n: distinct shingles; f: fingerprints; s: sketch. No shuffle."""
 
     def run(batches):
         for b in batches:
+            g = [grams(x, shingle) for x in b["text"]]
             t = [xxhash.xxh64_intdigest(b" ".join(_words(x)), 42) for x in b["text"]]
             yield pd.DataFrame({
                 "id": b["id"], "th": b["th"], "t": np.array(t, dtype=np.uint64).view(np.int64),
-                "n": np.array([len(grams(x, shingle)) for x in b["text"]], dtype=np.int64), "f": [prints(x) for x in b["text"]],
+                "n": np.array([len(x) for x in g], dtype=np.int64), "f": [prints(x) for x in b["text"]], "s": [sketch(x) for x in g],
             })
 
     kind = docs.schema[id_col].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return d.mapInPandas(run, f"id {kind}, th long, t long, n long, f array<long>")
+    return d.mapInPandas(run, f"id {kind}, th long, t long, n long, f array<long>, s binary")
+
+
+def table_masks() -> list[int]:
+    return [m % (1 << POSITIONS) for m in covering_masks(RADIUS)]
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(key, t): the members of all buckets of two texts or more."""
-    masks = [m % (1 << POSITIONS) for m in covering_masks(RADIUS)]
-    keys = F.array(*(F.xxhash64(F.lit(p * len(masks) + v), F.col("f")[p].bitwiseAND(F.lit(m))) for p in range(PRINTS) for v, m in enumerate(masks)))
+    """(v, key, t): the members of all buckets of two texts or more; v numbers the tables."""
+    masks = table_masks()
+    tables = F.array(*(F.struct(F.lit(p * len(masks) + v).alias("v"), F.col("f")[p].bitwiseAND(F.lit(m)).alias("key")) for p in range(PRINTS) for v, m in enumerate(masks)))
     # The texts are small files that a few tasks would read whole, and each makes a row per table.
     texts = texts.select("t", "f").repartition(-(-max(1, texts.count()) * PRINTS * len(masks) // DEALT), "t")
-    rows = texts.select("t", F.explode(keys).alias("key"))
+    rows = texts.select("t", F.explode(tables).alias("k")).select(F.col("k.v").alias("v"), F.xxhash64("k.v", "k.key").alias("key"), "t")
     many = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    return rows.join(many.hint("merge"), "key", "left_semi").select("key", "t")
+    return rows.join(many.hint("merge"), "key", "left_semi").select("v", "key", "t")
+
+
+def kin(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b) that are kin, (v, key, t) that stay in buckets of two or more), after ROUNDS pivots of each bucket."""
+    alike = F.expr(f"aggregate(sequence(1, {SKETCH}), 0, (n, k) -> n + if(substring(sa, k, 1) = substring(sb, k, 1), 1, 0)) / {SKETCH}")
+    x, y = (texts.select(F.col("t").alias(k), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    found = None
+    for r in range(ROUNDS):
+        pivots = members.groupBy("key").agg(F.min_by("t", F.xxhash64("t", F.lit(r))).alias("b"))
+        pairs = members.join(pivots.hint("merge"), "key").select("v", "key", F.col("t").alias("a"), "b").filter("a <> b")
+        own = pairs.select("a", "b").distinct().join(x, "a").join(y, "b")
+        own = written(own.select("a", "b", alike.alias("alike")), "alike")
+        some = own.filter(F.col("alike") >= LOOSE).select("a", "b")
+        found = some if found is None else found.union(some)
+        stay = pairs.join(own.filter(F.col("alike") < CLOSE).select("a", "b").hint("merge"), ["a", "b"], "left_semi").select("v", "key", F.col("a").alias("t"))
+        many = stay.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+        members = written(stay.join(many.hint("merge"), "key", "left_semi").select("v", "key", "t"), "bucket-members")
+        if members.isEmpty():
+            break
+    return found, members
+
+
+def similar_rows(left: list[np.ndarray], right: list[np.ndarray] | None, similar: int) -> list[tuple[int, int]]:
+    """Links, as places in left + right, that span what similar pairs of left and right (of left alone without right) join."""
+    sets = left if right is None else left + right
+    flat = np.concatenate(sets)
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = times > 1  # others are in no intersection
+    place = np.cumsum(common) - 1
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = common[at]
+    bits = np.zeros((len(sets), max(1, -(-int(common.sum()) // 8 // 8) * 8 + 8)), dtype=np.uint8)
+    np.bitwise_or.at(bits, (row[keep], place[at[keep]] >> 3), (1 << (place[at[keep]] & 7)).astype(np.uint8))
+    bits = bits.view(np.uint64)
+    label, out = np.arange(len(sets)), []
+    for i in range(len(left)):
+        first = i + 1 if right is None else len(left)
+        ok = (label[first:] != label[i]) & (np.minimum(size[first:], size[i]) * 100 >= np.maximum(size[first:], size[i]) * similar)
+        for a in range(0, len(js := np.flatnonzero(ok) + first), 256):
+            j = js[a : a + 256]
+            both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
+            for k in j[both * 100 >= (size[i] + size[j] - both) * similar]:
+                if label[k] != label[i]:
+                    out.append((i, int(k)))
+                    label[label == label[k]] = label[i]
+    return out
+
+
+def clan_links(clans: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): links that span the similar texts of each clan; clans: (t, clan, n)."""
+    of = clans.groupBy("clan").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("of"))
+    d = clans.join(of.hint("merge"), "clan").withColumn("own", F.pmod(F.xxhash64("t"), F.col("of")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    d = d.join(sets.hint("merge"), "t").select("t", "clan", "own", "grams", F.explode(pair).alias("p")).select("t", "clan", "own", "grams", "p.i", "p.j")
+    d = d.repartition("clan", "i", "j").sortWithinPartitions("clan", "i", "j")
+
+    def run(batches):
+        for frame in by_key(batches, ("clan", "i", "j")):
+            out = []
+            for (_, i, j), g in frame.groupby(["clan", "i", "j"], sort=False):
+                grams = [np.asarray(x, dtype=np.int64) for x in g["grams"]]
+                t, low = g["t"].to_numpy(), (g["own"] == i).to_numpy()
+                order = [*np.flatnonzero(low), *np.flatnonzero(~low)]
+                n = int(low.sum())
+                own = [grams[k] for k in order]
+                if i == j:
+                    found = similar_rows(own, None, similar)
+                else:
+                    found = similar_rows(own[:n], own[n:], similar) if 0 < n < len(own) else []
+                out += [(max(t[order[x]], t[order[y]]), min(t[order[x]], t[order[y]])) for x, y in found]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return d.mapInPandas(run, "a long, b long")
 
 
 def allowed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
@@ -106,36 +199,32 @@ def allowed(pairs: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
     return p.filter((far <= FAR) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similar)).select("a", "b")
 
 
-def rest(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """(a, b): the pairs of each bucket's texts that aren't in one component yet, but for those of its largest component."""
-    m = members.join(stars.toDF("t", "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"))
-    by_root = m.groupBy("key", "root").agg(F.count("*").alias("k"))
-    b = by_root.groupBy("key").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("all")).filter("all > top.k")
-    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
-    b = b.select("key", F.col("top.root").alias("top"), blocks(F.col("all")).alias("of_all"), blocks(F.col("all") - F.col("top.k")).alias("of_few"))
-    m = m.join(b.hint("merge"), "key")
-    place = lambda k: F.pmod(F.xxhash64("t", "key"), k).cast("int")
-    each = lambda k: F.sequence(F.lit(0), k - 1)
-    at = lambda few, every, side: F.struct(few.alias("few"), every.alias("every"), F.lit(side).alias("side"))
-    every = F.transform(each(F.col("of_few")), lambda i: at(i, place(F.col("of_all")), False))
-    few = F.when(F.col("root") != F.col("top"), F.transform(each(F.col("of_all")), lambda i: at(place(F.col("of_few")), i, True)))
-    dealt = m.select("key", "t", "root", F.explode(F.concat(every, F.coalesce(few, F.array()))).alias("at"))
-    # Each group holds the members of two blocks.
-    groups = dealt.groupBy("key", "at.few", "at.every").agg(F.collect_list(F.struct("at.side", "t", "root")).alias("m"))
+def rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of each bucket's texts, each in the first table in which the two meet; members: (v, key, t)."""
+    masks = np.array(table_masks(), dtype=np.int64)
+    of = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of"))
+    m = members.join(of.hint("merge"), "key").join(texts.select("t", "f"), "t").withColumn("own", F.pmod(F.xxhash64("t", "key"), F.col("of")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    m = m.select("v", "key", "t", "f", F.explode(pair).alias("p")).select("v", "key", "t", "f", "p.i", "p.j")
+    m = m.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        for batch in batches:
+        for frame in by_key(batches, ("key", "i", "j")):
             a, b = [np.array([], dtype=np.int64)], [np.array([], dtype=np.int64)]
-            for m in batch["m"]:
-                side = np.array([x["side"] for x in m], dtype=bool)
-                t, root = (np.array([x[c] for x in m], dtype=np.int64) for c in ("t", "root"))
-                i, j = np.nonzero(root[side][:, None] != root[~side][None, :])
-                x, y = t[side][i], t[~side][j]
-                a.append(np.maximum(x, y))
-                b.append(np.minimum(x, y))
+            for _, g in frame.groupby(["key", "i", "j"], sort=False):
+                t, f, v = g["t"].to_numpy(), np.stack(g["f"].to_numpy()), int(g["v"].iloc[0])
+                for k in range(len(t) - 1):
+                    far = f[k + 1 :] ^ f[k]
+                    met = np.zeros(len(far), dtype=bool)
+                    for p in range(v // len(masks) + 1):
+                        earlier = masks[: v % len(masks)] if p == v // len(masks) else masks
+                        met |= ((far[:, p, None] & earlier) == 0).any(axis=1)
+                    x = t[k + 1 :][~met]
+                    a.append(np.maximum(x, t[k]))
+                    b.append(np.minimum(x, t[k]))
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    return groups.select("m").mapInPandas(run, "a long, b long")
+    return m.mapInPandas(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, described_docs: DataFrame, wanted: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
@@ -164,14 +253,18 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
 def links(docs: DataFrame, d: DataFrame, id_col: str, text: str, shingle: int, similar: int = SIMILAR) -> DataFrame:
     """(a, b): each text (t) that isn't its component's smallest, with the smallest."""
-    texts = written(d.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f")), "texts")
-    members = written(buckets(texts), "bucket-members")
-    sets = written(shingle_sets(docs, d, members.select("t").distinct(), id_col, text, shingle), "shingle-sets")
-    pivots = members.groupBy("key").agg(F.min(F.col("t").bitwiseXOR(F.lit(SALT))).alias("p"))
-    pairs = members.join(pivots.hint("merge"), "key").select(F.col("t").alias("a"), F.col("p").bitwiseXOR(F.lit(SALT)).alias("b"))
-    stars = components(similar_pairs(allowed(pairs, texts, similar), sets, similar))
-    more = similar_pairs(allowed(rest(members, stars), texts, similar), sets, similar)
-    return components(more.union(stars))
+    texts = written(d.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("s").alias("s")), "texts")
+    related, left = kin(written(buckets(texts), "bucket-members"), texts)
+    e = components(related).toDF("t", "clan")
+    clans = e.union(e.select(F.col("clan"), F.col("clan")).distinct()).join(texts.select("t", "n"), "t")
+    clans = written(clans, "clans")
+    own = shingle_sets(docs, d, clans.select("t"), id_col, text, shingle)
+    found = written(clan_links(clans, own, similar), "similar")
+    if not left.isEmpty():
+        some = written(allowed(rest(left, texts), texts, similar), "candidates")
+        sets = shingle_sets(docs, d, some.select(F.explode(F.array("a", "b")).alias("t")).distinct(), id_col, text, shingle)
+        found = found.union(similar_pairs(some, sets, similar))
+    return components(found)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
