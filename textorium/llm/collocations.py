@@ -33,7 +33,7 @@ from .common import released, written
 #: Buckets of a pass and of a segment of them.
 BUCKETS, SEGMENT = 1 << 26, 1 << 16
 #: Words of a chunk, and distinct words after which a task's dictionary starts anew.
-CHUNK, DISTINCT = 1 << 18, 1 << 17
+CHUNK, DISTINCT = 1 << 19, 1 << 18
 ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
 ROWS = "lang string, phrase string, h long, n long, segment int, counts binary"
 
@@ -138,6 +138,7 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
                     held, size = [], 0
                     if len(words.names) >= DISTINCT:
                         yield from single_words(words)
+                        words.of.clear()  # a dictionary knows its words: without this it would wait for the garbage collector
                         words = Words()
         if held and (last := counted(words, np.concatenate(held))) is not None:
             yield last
