@@ -24,11 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, so that later reads don't depend on any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/textorium/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)
 
 
