@@ -18,7 +18,6 @@ of the phrase; repeated rows count each; an empty table gives an empty result; o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,9 @@ from .common import released, written
 BUCKETS, SEGMENT = 1 << 26, 1 << 16
 #: Words of a chunk, and distinct words after which a task's dictionary starts anew.
 CHUNK, DISTINCT = 1 << 19, 1 << 18
-ENDS = re.compile(rb"[.,;:!?\x0a-\x0d]+")
-ROWS = "lang string, phrase string, h long, n long, segment int, counts binary"
+#: Small letters for A to Z, one mark for all that ends a piece.
+MARKED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9)
+ROWS = "lang string, phrase string, n long, segment int, counts binary"
 
 
 class Words:
@@ -49,7 +49,7 @@ class Words:
         d = self.of.get(group)
         if d is None:
             d = self.of[group] = _Numbered(self, group)
-        return list(map(d.__getitem__, ENDS.sub(b" . ", text.encode("utf-8", "surrogatepass").lower()).split()))
+        return list(map(d.__getitem__, text.encode("utf-8", "surrogatepass").translate(MARKED).replace(b".", b" . ").split()))
 
 
 class _Numbered(dict):
@@ -61,10 +61,14 @@ class _Numbered(dict):
         at = self[w] = len(self.words.names)
         self.words.names.append(w.decode("utf-8", "surrogatepass"))
         self.words.groups.append(self.group)
-        self.words.hashes.append(xxhash.xxh64_intdigest(self.salt + w, 42))
+        self.words.hashes.append(word_hash(self.salt, w))
         return at
 
 
+def word_hash(salt: bytes, w: bytes) -> int:
+    return xxhash.xxh64_intdigest(salt + w, 42)
+
+
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of a phrase and the word after it."""
     x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -82,11 +86,11 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
         kind = np.uint8 if least < 256 else np.uint32
         counters = np.zeros(BUCKETS, dtype=kind) if k < longest else None
 
-        def rows(words: Words, at: list[np.ndarray], h, n) -> pd.DataFrame:
+        def rows(words: Words, at: list[np.ndarray], n) -> pd.DataFrame:
             names, at = words.names, [a.tolist() for a in at]
             phrase = [" ".join([names[i] for i in x]) for x in zip(*at)]
             lang = [words.groups[i] for i in at[0]]
-            return pd.DataFrame({"lang": lang, "phrase": phrase, "h": h.view(np.int64), "n": n, "segment": pd.array([pd.NA] * len(n), dtype="Int32"), "counts": None})
+            return pd.DataFrame({"lang": lang, "phrase": phrase, "n": n, "segment": pd.array([pd.NA] * len(n), dtype="Int32"), "counts": None})
 
         def counted(words: Words, ids: np.ndarray) -> pd.DataFrame | None:
             if len(ids) < k:
@@ -113,6 +117,8 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
             if k == 1:  # words are counted as long as the dictionary lasts
                 words.counts = np.bincount(ids, minlength=len(words.names)) + np.pad(words.counts, (0, len(words.names) - len(words.counts)))
                 return None
+            if not len(p):
+                return None
             code = ids[p].astype(np.int64)
             for j in range(1, k):
                 if j > 1:
@@ -120,12 +126,12 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
                 code = code << 32 | ids[p + j].astype(np.int64)
             _, first, n = np.unique(code, return_index=True, return_counts=True)
             p = p[first]
-            return rows(words, [ids[p + j] for j in range(k)], h[p], n)
+            return rows(words, [ids[p + j] for j in range(k)], n)
 
         def single_words(words: Words) -> Iterator[pd.DataFrame]:
             for a in range(1, len(words.counts), CHUNK // 4):
                 at = np.arange(a, min(a + CHUNK // 4, len(words.counts)))
-                yield rows(words, [at], words.table[at], words.counts[at])
+                yield rows(words, [at], words.counts[at])
 
         words, held, size = Words(), [], 0
         for b in batches:
@@ -149,9 +155,9 @@ def scan(docs: DataFrame, k: int, longest: int, least: int, halves, common) -> D
                 if len(at := np.flatnonzero(counters[s : s + SEGMENT])):
                     parts.append((s // SEGMENT, at.astype(np.uint16).tobytes() + counters[s + at].tobytes()))
             if parts:
-                yield pd.DataFrame({"lang": None, "phrase": None, "h": pd.array([pd.NA] * len(parts), dtype="Int64"), "n": pd.array([pd.NA] * len(parts), dtype="Int64"), "segment": [s for s, _ in parts], "counts": [c for _, c in parts]})
+                yield pd.DataFrame({"lang": None, "phrase": None, "n": pd.array([pd.NA] * len(parts), dtype="Int64"), "segment": [s for s, _ in parts], "counts": [c for _, c in parts]})
 
-    return written(docs.mapInPandas(run, ROWS), f"phrases-{k}")
+    return written(docs.mapInPandas(run, ROWS), f"phrases-{k}", "zstd")
 
 
 def _packed(bits: dict[int, np.ndarray]) -> pd.DataFrame:
@@ -184,7 +190,18 @@ def common_buckets(scanned: DataFrame, least: int) -> bytes:
 
 
 def phrase_buckets(phrases: DataFrame) -> bytes:
-    """The bitmap of the buckets of phrases."""
+    """The bitmap of the buckets of phrases, all of one length."""
+
+    def placed(batches):
+        for b in batches:
+            salts = [g.encode() + b"\0" for g in b["lang"]]
+            h = None
+            for w in zip(*(p.encode("utf-8", "surrogatepass").split(b" ") for p in b["phrase"])):
+                own = np.array([word_hash(s, x) for s, x in zip(salts, w)], dtype=np.uint64)
+                h = own if h is None else joined(h, own)
+            if h is not None:
+                at = (h >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
+                yield pd.DataFrame({"segment": at // SEGMENT, "at": at % SEGMENT})
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -193,18 +210,17 @@ def phrase_buckets(phrases: DataFrame) -> bytes:
                 total.setdefault(s, np.zeros(SEGMENT, dtype=bool))[at.to_numpy()] = True
         yield _packed(total)
 
-    place = F.shiftrightunsigned("h", 64 - (BUCKETS - 1).bit_length())
-    return _bitmap(phrases.select(place.alias("p")).select((F.col("p") / SEGMENT).cast("int").alias("segment"), (F.col("p") % SEGMENT).cast("int").alias("at")), run)
+    return _bitmap(phrases.select("lang", "phrase").mapInPandas(placed, "segment int, at int"), run)
 
 
 def frequent(scanned: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, h, n): the phrases of the least count."""
-    d = scanned.filter("segment is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
+    """(lang, phrase, n): the phrases of the least count."""
+    d = scanned.filter("segment is null").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return written(d.filter(F.col("n") >= least), "frequent")
 
 
 def counts(docs: DataFrame, text: str = "text", group: str = "lang", longest: int = 3, least: int = 10) -> tuple[DataFrame, list[DataFrame]]:
-    """(lang, n) of all words, and for each length (lang, phrase, h, n) of the frequent phrases."""
+    """(lang, n) of all words, and for each length (lang, phrase, n) of the frequent phrases."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
     out, halves, common, totals = [], None, None, None
