@@ -238,8 +238,8 @@ def test_models(spark):
     assert one(spark, "no json", models.parsed_annotations(F.col("x"), ["a"])) == []
     assert one(spark, "1. First one\n2) Second", models.numbered_findings(F.col("x"))) == ["First one", "Second"]
     assert one(spark, '<time datetime="2024-01-02T10:00">', models.published(F.col("x"))) == "2024-01-02"
-    t = one(spark, ["um, hello there.", "[Music] All good,,", "now we go.", "Next one."], models.transcript(F.col("x")), "array<string>")
-    assert t == "hello there. All good, now we go.\n\nNext one."
+    t = one(spark, ["Um hello (there)...", "[music] All [sic] sort of good", "we go!!", " Then one.", "Last"], models.transcript(F.col("x")), "array<string>")
+    assert t == "hello (there).. All [sic] sort of good we go!.\n\nThen one..\n\nLast"
     d = spark.createDataFrame([("coal is bad", "coal is very bad"), ("coal is bad", "coal is not bad")], "a string, b string")
     s = [r[0] for r in d.select(models.pair_scorer()(F.col("a"), F.col("b"))).collect()]
     assert s[0]["entails"] == 1 and s[1]["contradicts"] == 1

@@ -10,6 +10,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..functions.text import quoted
 from pyspark.sql import types as T
 
 DIMENSION = 64
@@ -97,26 +99,36 @@ def published(html: Column) -> Column:
     return F.coalesce(*(F.nullif(x, F.lit("")) for x in found))
 
 
-FILLERS = ("um", "uh", "you know", "i mean", "sort of", "kind of")
-TURNS = ("so", "now", "however", "but", "meanwhile", "next", "finally", "then")
+# What transcribers put in, what speakers do, and what opens another subject.
+ARTEFACTS = ("[Music]", "[Applause]", "[Laughter]", "[Crowd noise]")
+FILLERS = ("uh", "um", "ah", "oh")
+TURNS = (
+    "however", "nevertheless", "meanwhile", "furthermore", "moreover", "on the other hand", "in contrast", "additionally",
+    "further", "now", "then", "next", "finally", "in conclusion",
+)
 
 
 def transcript(segments: Column, paragraph: int = 2) -> Column:
-    """Transcript segments as a text: artefacts and fillers gone, punctuation collapsed, paragraphs of two sentences or at a turn."""
-    t = F.array_join(F.transform(segments, lambda s: F.trim(s)), " ")
-    t = F.regexp_replace(t, r"\[[^\]]*\]|\([^)]*\)", " ")
-    t = F.regexp_replace(t, rf"(?i)\b(?:{'|'.join(FILLERS)})\b,?", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"([.!?,])\1+", "$1"), r"\s+", " "))
-    parts = F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: s != "")
-    turn = lambda s: F.lower(s).rlike(rf"^(?:{'|'.join(TURNS)})\b")
-    joined = F.aggregate(
-        parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
-        lambda a, s: F.when(a["out"] == "", F.struct(s.alias("out"), F.lit(1).alias("n")))
-        .when((a["n"] >= paragraph) | turn(s), F.struct(F.concat(a["out"], F.lit("\n\n"), s).alias("out"), F.lit(1).alias("n")))
-        .otherwise(F.struct(F.concat(a["out"], F.lit(" "), s).alias("out"), (a["n"] + 1).alias("n"))),
+    """Transcript segments as a text: artefacts and fillers gone, points collapsed, sentences joined by a point and a space;
+    a paragraph ends with its second sentence, or with one that holds a turn, anywhere in its words."""
+    t = F.regexp_replace(F.array_join(F.transform(segments, lambda s: F.trim(s)), " "), r"\s+", " ")
+    for x in ARTEFACTS:
+        t = F.regexp_replace(t, f"(?i){quoted(x)}", "")
+    t = F.regexp_replace(t, rf"(?i)\b(?:{'|'.join(FILLERS)})\b", "")
+    for x in ".?!":
+        t = F.regexp_replace(t, rf"[{x}]{{2,}}", x)
+    parts = lambda x: F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    sentences = parts(F.array_join(parts(F.trim(t)), ". "))
+    turn = lambda s: F.lower(s).rlike("|".join(map(quoted, TURNS)))
+    state = lambda out, n: F.struct(out.alias("out"), n.alias("n"))
+    return F.aggregate(
+        sentences, state(F.lit(""), F.lit(0)),
+        lambda a, s: state(
+            F.concat(a["out"], F.when(a["out"] == "", "").when(a["n"] == 0, "\n\n").otherwise(" "), s),
+            F.when((a["n"] + 1 >= paragraph) | turn(s), 0).otherwise(a["n"] + 1),
+        ),
         lambda a: a["out"],
     )
-    return joined
 
 
 def located(text: Column, span: Column) -> Column:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, vectors
-from ..operators import actors, dedup, evaluation, filters, incremental, metrics, retrieval, rollup, sampling, wordcount
-from ..sources.tables import table
+from ..operators import actors, dedup, evaluation, filters, incremental, metrics, models, retrieval, rollup, sampling, wordcount
+from ..sources import keyed
+from ..sources.tables import shared_folder, table
 from .base import DOCS, documents, query, rounded
 
 THEMES = {"tone": ("that", "this", "nicht"), "place": ("from", "dans", "with"), "link": ("and", "und", "con")}
@@ -546,3 +548,38 @@ def b30_error_capture(spark, d):
 
     out = filters.captured(table(spark, d, "documents").select("doc_id", "text"), "text", tail, "long")
     return out.select("doc_id", "result", F.col("error").isNotNull().alias("failed"))
+
+
+@query(r"""with s as (select conv_id, regexp_replace(string_agg(trim(text), ' ' order by turn), '\s+', ' ', 'g') as t from conversations where text is not null group by conv_id),
+c as (select conv_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[(music|applause|laughter|crowd noise)\]', '', 'gi'), '\b(uh|um|ah|oh)\b', '', 'gi'), '[.]{2,}', '.', 'g'), '[?]{2,}', '?', 'g'), '!{2,}', '!', 'g')) as t from s),
+a as (select conv_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), '. ') as t from c),
+b as (select conv_id, list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as l from a)
+select conv_id, coalesce(list_reduce(list_prepend({'s': '', 'out': '', 'n': 0}, list_transform(l, lambda x: {'s': x, 'out': '', 'n': 0})), lambda a, x: {'s': '',
+  'out': a.out || case when a.out = '' then '' when a.n = 0 then chr(10) || chr(10) else ' ' end || x.s,
+  'n': case when a.n + 1 >= 2 or regexp_matches(lower(x.s), 'however|nevertheless|meanwhile|furthermore|moreover|on the other hand|in contrast|additionally|further|now|then|next|finally|in conclusion') then 0 else a.n + 1 end}).out, '') as transcript from b""")
+def i10_transcripts(spark, d):
+    """The turns of each conversation as a transcript."""
+    t = table(spark, d, "conversations").filter("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
+    return t.select("conv_id", models.transcript(F.transform("s", lambda x: x["text"])).alias("transcript"))
+
+
+@query("""select doc_id, case when l.doc_id is not null then 'new' else 'old' end as state, case when l.doc_id is not null then l.n else 0 end as n
+from documents d left join (select doc_id, sum(quality + toxic)::bigint as n from labels group by doc_id) l using (doc_id)""")
+def a17_a18_keyed_upsert(spark, d):
+    """All documents, then the labelled ones with findings, by upserts into buckets; read back by the index."""
+    store = keyed.KeyedTable(spark, f"{shared_folder(spark).rstrip('/')}/textorium/keyed-{uuid.uuid4().hex}", "url")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), "doc_id", F.array().cast("array<string>").alias("findings"), F.lit("old").alias("state"))
+    store.upsert(docs)
+    n = table(spark, d, "labels").groupBy("doc_id").agg(F.sum(F.col("quality") + F.col("toxic")).cast("int").alias("n"))
+    store.upsert(docs.join(n, "doc_id").select("url", "doc_id", F.array_repeat(F.lit("x"), F.col("n")).alias("findings"), F.lit("new").alias("state")))
+    return store.index().join(store.rows().select("url", "state"), "url").select("doc_id", "state", "n")
+
+
+@query("""select doc_id, case when toxic = 1 then 'toxic' when quality = 1 then 'good' end as extractor, case when toxic = 1 or quality = 1 then 1 else 0 end as n,
+case when not (toxic = 1 or quality = 1) and text is null then 'no text' end as error from labels join documents using (doc_id)""")
+def a37_first_extractor(spark, d):
+    """Labelled documents through two extractors; what neither reads stays, without findings."""
+    docs = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    by = lambda column, word: lambda x: x.select("doc_id", F.when(F.col(column) == 1, F.array(F.lit(word))).alias("findings"), F.when(F.col("text").isNull(), "no text").alias("error"))
+    out = keyed.first_to_find(docs, "doc_id", [("toxic", by("toxic", "t")), ("good", by("quality", "g"))])
+    return out.select("doc_id", "extractor", F.size("findings").alias("n"), "error")
