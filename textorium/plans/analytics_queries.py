@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, vectors
 from ..operators import actors, dedup, evaluation, filters, incremental, metrics, models, retrieval, rollup, sampling, wordcount
 from ..sources import keyed
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, spread, table
 from .base import DOCS, documents, query, rounded
 
 THEMES = {"tone": ("that", "this", "nicht"), "place": ("from", "dans", "with"), "link": ("and", "und", "con")}
@@ -404,7 +404,7 @@ def g01_union(spark, d):
 def g02_g03_dedupe_text(spark, d):
     from ..functions.text import strip
 
-    return table(spark, d, "documents").groupBy(strip("text").alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return spread(table(spark, d, "documents")).groupBy(strip("text").alias("t")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
 @query("select doc_id from documents except select doc_id from labels where toxic = 1")

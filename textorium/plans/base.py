@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, frames
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Languages stand for corpora, sources for domains; dates run over two years by id."""
     day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 7 % 730).cast("int"))
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id", F.col("lang").alias("corpus"), F.col("source").alias("domain"), F.date_format(day, "yyyy-MM-dd").alias("published_at"), "text"
     )
 

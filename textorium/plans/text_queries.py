@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, text, urls
 from ..operators import chunking, filters
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import CHUNKS, DOCS, chunks, documents, query, rounded
 
 WS = r"'^\s+|\s+$'"
@@ -73,7 +73,7 @@ select doc_id, sha1(t) as cleaned from c where t <> '' and not regexp_matches(t,
 
 @query(CLEAN)
 def b05_clean(spark, d):
-    c = table(spark, d, "documents").select("doc_id", text.clean("text", ["License"], ["!!", "("], {"***": 4}).alias("t"))
+    c = spread(table(spark, d, "documents")).select("doc_id", text.clean("text", ["License"], ["!!", "("], {"***": 4}).alias("t"))
     return c.filter("t is not null").select("doc_id", F.sha1("t").alias("cleaned"))
 
 
@@ -178,7 +178,7 @@ def h01_h02_text_statistics(spark, d):
 @query(f"""select doc_id, cast(len(list_filter({TOK}, lambda t: t = 'that')) as bigint) as n_that, cast(len(list_filter({TOK}, lambda t: t = 'nicht')) as bigint) as n_nicht from documents""")
 def h03_keyword_counts(spark, d):
     c = lambda k: text.keyword_count("text", k, hyphenation=False)
-    return table(spark, d, "documents").select("doc_id", c("that").alias("n_that"), c("nicht").alias("n_nicht"))
+    return spread(table(spark, d, "documents")).select("doc_id", c("that").alias("n_that"), c("nicht").alias("n_nicht"))
 
 
 @query("select doc_id, cast(strpos(lower(text), 'ention') - 1 as bigint) as at from documents where contains(lower(text), 'ention')")
