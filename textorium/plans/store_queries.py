@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..operators import aggregation, annotation, chunking, frames, pages
+from ..operators import aggregation, annotation, chunking, frames, models, pages, rescoring
 from ..sources.stores import Store, embedded, fingerprinted
 from ..sources.tables import shared_folder, table
 from .base import CHUNKS, KEYS, OCCURRING, SCORES, WEIGHTED, documents, query, rounded, scores
@@ -90,3 +90,48 @@ def m02_strategy_weighted(spark, d):
 @query("with " + OCCURRING + " select doc_id, frame, value, total_weight, any_value from occurring")
 def m02_strategy_occurring(spark, d):
     return _strategy(spark, d, aggregation.Occurring(len(frames.LEXICON), 0.2)).select("doc_id", "frame", "value", "total_weight", "any_value")
+
+
+@query("with " + WEIGHTED + """, r as (select doc_id, frame, value, row_number() over (partition by doc_id order by value desc, frame_idx) as rank from weighted)
+select doc_id, rank, frame, round(value, 9) as value from r where rank <= 3 and value > 0""")
+def d42_top_frames(spark, d):
+    """Each document's three best frames above zero."""
+    out = frames.top_frames(frames.weighted_documents(scores(spark, d), KEYS, 0.2), ["doc_id"], 3, positive=True)
+    return rounded(out, "value", digits=9)
+
+
+@query("with " + CHUNKS + """, per as (select doc_id, count(*) as n from chunks join (select distinct doc_id from labels) using (doc_id) group by doc_id)
+select (select count(distinct doc_id) from documents) as documents, (select count(distinct doc_id) from labels join documents using (doc_id)) as available,
+  (select sum(n) from per)::bigint as rows, round((select count(distinct doc_id) from labels join documents using (doc_id)) / (select count(distinct doc_id) from documents), 9) as share""")
+def d40_store_stats(spark, d):
+    """What of all documents a store of the labelled ones' chunks has."""
+    store = Store(spark, f"{shared_folder(spark).rstrip('/')}/textorium/stores-{uuid.uuid4().hex}/chunks")
+    docs = fingerprinted(table(spark, d, "documents").select("doc_id", "text"), "text")
+    store.materialise(docs.join(table(spark, d, "labels"), "doc_id", "left_semi"), "sentences", lambda new: chunking.sentence_chunks(new, "doc_id"))
+    return rounded(store.stats(docs, "sentences"), "share", digits=9)
+
+
+@query(r"""with p as (select page_id, regexp_extract(html, '(?i)<time[^>]*datetime="(\d{4}-\d{2}-\d{2})', 1) as a, regexp_extract(html, '(?i)<meta[^>]*(?:published_time|pubdate|date)"[^>]*content="(\d{4}-\d{2}-\d{2})', 1) as b,
+  regexp_extract(html, '"datePublished"\s*:\s*"(\d{4}-\d{2}-\d{2})', 1) as c from pages)
+select page_id, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')) as published_at from p""")
+def i09_published(spark, d):
+    return table(spark, d, "pages").select("page_id", models.published(F.col("html")).alias("published_at"))
+
+
+@query("""with t as (select conv_id, arg_min(text, turn) as target, min(turn) as first from conversations where text is not null group by conv_id),
+c as (select conv_id, turn, least(1.0, len(target) / greatest(len(text), 1)::double) as fits, (case when contains(text, '?') then 1 else 0 end)::double as asks from conversations join t using (conv_id) where turn > first and text is not null),
+u as (select conv_id, turn, fits - 0.5 * (1 - fits) as u1, asks as u2 from c)
+select conv_id, turn, rank, round(u1, 9) as utility_length, u2 as utility_question from (select *, row_number() over (partition by conv_id order by u1 desc, turn) as rank from u) where rank <= 3""")
+def j08_j09_f04_reranked(spark, d):
+    """Answers of a conversation against its first turn: two scorers, the first policy's order, three of each."""
+    t = table(spark, d, "conversations").filter("text is not null")
+    first = t.groupBy("conv_id").agg(F.min_by("text", "turn").alias("target"), F.min("turn").alias("first"))
+    c = t.join(first, "conv_id").filter("turn > first")
+    share = lambda a, b: F.least(F.lit(1.0), F.length(a) / F.greatest(F.length(b), F.lit(1)))
+    scorers = {
+        "length": lambda premise, hypothesis: F.create_map(F.lit("entails"), share(premise, hypothesis), F.lit("contradicts"), 1 - share(premise, hypothesis)),
+        "question": lambda premise, hypothesis: F.create_map(F.lit("asks"), F.when(hypothesis.contains("?"), 1.0).otherwise(0.0)),
+    }
+    s = rescoring.rescored(c, scorers, "target", "text", premise_is_target=True)
+    out = rescoring.reranked(s, {"length": {"entails": 1, "contradicts": -0.5}, "question": {"asks": 1}}, "conv_id", "turn", 3)
+    return rounded(out, "utility_length", digits=9).select("conv_id", "turn", "rank", "utility_length", "utility_question")
