@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.text import CONNECTORS, strip, text_of
 
 MARK = "\x01"
+
+# How a text says, right after a closing quote, who has said it; without case.
+ATTRIBUTIONS = (
+    r'["”]\s*,?\s*(said|added|told|asked|replied|explained|stated|mentioned|noted)\b',
+    r'["”]\s*,?\s*(according to|explained by|stated in|noted by|mentioned by|reported by)\b',
+    r'["”]\s*,?\s*(as stated by|in the words of|per the report)\b',
+    r'per month["”]\s*,?\s*(the report mentioned|it said|they stated)\b',
+)
 #: A sentence ends after one of these, if a line end, a capital (with or without a space) or a quote follows.
 BOUNDARY = r'([.!?])(?=\s*\n|\s+[A-Z]|[A-Z]|\s*["”])'
 
@@ -60,8 +69,8 @@ def _step(a: Column, x: Column, most_words: int) -> Column:
     cur = F.when(flush, "").otherwise(a["cur"])
     m = F.when(flush, 0).otherwise(a["n"])
     first = F.regexp_replace(F.lower(F.regexp_extract(s, r"^(\S+)", 1)), r"[.,!?:;]+$", "")
-    verbs = r"(?i)[\"”]\s*,?\s*(said|added|told|asked|replied|explained|stated|mentioned|noted|according to|explained by|stated in|noted by|mentioned by|reported by|as stated by|in the words of|per the report)\b"
-    joins = (m + n <= most_words) | ((m + n <= most_words * 1.1) & (first.isin(*CONNECTORS) | s.rlike(verbs))) | ((n < 12) & (m * 2 < most_words))
+    said = reduce(lambda a, b: a | b, (s.rlike(f"(?i){p}") for p in ATTRIBUTIONS))
+    joins = (m + n <= most_words) | ((m + n <= most_words * 1.1) & (first.isin(*CONNECTORS) | said)) | ((n < 12) & (m * 2 < most_words))
     words = F.array_join(F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, most_words), " ")
     words = F.when(words.rlike("[.!?]$"), words).otherwise(F.concat(words, F.lit("...")))
     ended = F.when(m > 0, F.concat(out, F.array(cur))).otherwise(out)
@@ -75,19 +84,19 @@ def _step(a: Column, x: Column, most_words: int) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text: str, limit: int = 1200, overlap: int = 120) -> DataFrame:
-    """(id, piece): character windows that back off to the last space beyond 40 % of the limit, with an overlap."""
+    """(id, piece): character windows of the trimmed text that back off to the last space beyond 40 % of the limit, with an overlap."""
 
     def pieces(t: str) -> Iterator[str]:
-        at = 0
+        t, at = t.strip(), 0
         while at < len(t):
             end = min(len(t), at + limit)
             if end < len(t):
-                space = t.rfind(" ", at + int(limit * 0.4), end)
+                space = t.rfind(" ", at + int(limit * 0.4) + 1, end)
                 end = space if space > at else end
             yield t[at:end].strip()
             if end >= len(t):
                 return
-            at = max(end - overlap, at + 1)
+            at = end - overlap if end - overlap > at else end
 
     def run(batches):
         for b in batches:
