@@ -296,6 +296,27 @@ def test_broken_markup_takes_linear_time(spark):
     assert html_text.extract(d, "id", "html", "text", "score").columns == ["id", "score", "text", "n_chars"]
 
 
+def test_names_of_texts_and_forms_around_pages():
+    """Headings and paragraphs stay whatever they are called, ids in the article are anchors, and a form may hold the page."""
+    p = [f"<p>{prose(70 + k, 30)}</p>" for k in range(3)]
+    text = [prose(70 + k, 30) for k in range(3)]
+    page = f"<article>{p[0]}<h2 id='search'>Search</h2><section id='legal'>{p[1]}</section><p class='side-effects'>Effects<div id='comments'>said</div>{p[2]}</article>"
+    assert html_text.main_text(page).split("\n") == [text[0], "Search", text[1], "Effects", text[2]]
+    assert html_text.main_text(f"<body><nav>menu</nav><form id=f>{p[0]}{p[1]}<button>Go</button></form>") == f"{text[0]}\n{text[1]}"
+    assert html_text.main_text(f"<body><form><input>name</form>{p[0]}") == text[0]
+
+
+def test_many_open_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        at = time.perf_counter()
+        html_text.main_text("<p>text" + "<b>" * n + "</i>" * n + "</b>" * n)
+        took.append(time.perf_counter() - at)
+    assert took[1] < 10 * took[0]
+
+
 def test_secrets(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     plain = f'é password = "hunter2hunter" and {key}; 0123456789abcdef0123456789 token: ab Secret=token:abcdefg'

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +38,10 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same kind, or of these kinds, ends.
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Elements that hold text themselves: their names say what it is about, not where it stands.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Whole ids that still count within the article, where others are anchors.
+PARTS = re.compile(r"comments?|comment-?list|respond|replies|disqus\w*|sidebar|related|newsletter|share|sharing|social|ads?|advert\w*|promo\w*|cookie\w*", re.I)
 #: Words of a class, id or role that name what isn't the article.
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|navbar|breadcrumbs?|header|masthead|footer|notices?"
@@ -51,18 +56,23 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>", re.S
 )
-NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, aside, in the article, characters in links) of each block in page order."""
+def lines(page: str, forms: bool = False) -> list[tuple[str, bool, bool, int]]:
+    """(text, aside, in the article, characters in links) of each block in page order; with forms, these are like any container."""
     out: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, aside, article
+    opened: Counter = Counter()  # names in the stack
     in_link = 0
 
+    def drop(k):
+        opened.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def flush():
         t = " ".join(entities.unescape("".join(text)).split())
         if t:
@@ -89,13 +99,13 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
             continue
         name = m[3].lower()
         if m[2]:
-            if name in BLOCKS or any(x[0] == name for x in stack):
-                if name in BLOCKS:
-                    flush()
+            if name in BLOCKS:
+                flush()
+            if opened[name]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         flush() if any(x[0] in BLOCKS or x[1] for x in stack[k:]) else None
-                        del stack[k:]
+                        drop(k)
                         break
                     if stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
                         break  # a stray end tag doesn't close what holds it
@@ -113,10 +123,10 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if block:
             flush()
             while stack and name in ENDS.get(stack[-1][0], ()):
-                stack.pop()
+                drop(len(stack) - 1)
             for k in range(len(stack) - 1, -1, -1):  # an open p below inline tags ends as well
                 if stack[k][0] == "p" and name in ENDS["p"]:
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k][0] in BLOCKS:
                     break
@@ -125,19 +135,24 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if name == "a":
             in_link = 1
         aside, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        off = name in DROPPED
+        off = name in DROPPED and not (forms and name == "form")
         if not off and m[4] and name not in ("html", "body", "article", "main"):
-            off = any(ASIDE.search(x) for g in NAMES.findall(m[4]) for x in g if x) or bool(HIDDEN.search(m[4]))
+            named = name not in TEXTS and any(PARTS.fullmatch(x) if article and a.lower() == "id" else ASIDE.search(x) for a, *g in NAMES.findall(m[4]) for x in g if x)
+            off = named or bool(HIDDEN.search(m[4]))
         if off and not aside and not block:
             flush()
         stack.append((name, aside or off, article or name in ("article", "main")))
+        opened[name] += 1
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The blocks between surges and dives, joined by newlines."""
-    found = lines(page or "")
+    """The blocks between surges and dives, joined by newlines; where forms hold all of a page, of what is in them."""
+    return _between(lines(page or "")) or (_between(lines(page, forms=True)) if page and re.search("<form", page, re.I) else "")
+
+
+def _between(found: list[tuple[str, bool, bool, int]]) -> str:
     named = any(article and not aside for _, aside, article, _ in found)
     out = [aside or named and not article for _, aside, article, _ in found]
     weight = [0 if off else max(0, len(t) - (0 if named else 2 * in_links)) for off, (t, _, _, in_links) in zip(out, found)]
