@@ -383,6 +383,28 @@ def test_secrets_in_large_streams_and_cycles(monkeypatch):
     assert secrets.secrets_of(base64.b64encode(b"turns round and round").decode())[1] == []
 
 
+@pytest.mark.parametrize("piece", [1 << 22, 1 << 12])
+def test_secrets_in_nested_large_streams(monkeypatch, piece):
+    """Streams within streams, any of them over many pieces, end where they end."""
+    import zlib
+
+    monkeypatch.setattr(secrets, "PIECE", piece)
+    monkeypatch.setattr(secrets, "OVERLAP", min(secrets.OVERLAP, piece // 4))
+    key, n = ("AKIA" + "ABCDEFGH12345678").encode(), (piece * 3) >> 3
+    g = np.random.default_rng(3)
+    filler = lambda k: " ".join(map(str, g.integers(0, 10**7, k))).encode()
+    inner = filler(n) + b" " + key + b" " + filler(n // 4)
+    cases = [
+        gzip.compress(gzip.compress(inner, 1, mtime=0), 1, mtime=0),
+        zlib.compress(filler(n) + gzip.compress(zlib.compress(inner, 1), 1, mtime=0) + filler(n // 4), 1),
+        gzip.compress(gzip.compress(filler(n), 1, mtime=0) + gzip.compress(inner, 1, mtime=0), 1, mtime=0),
+        gzip.compress(zlib.compress(inner, 1)[:-9], 1, mtime=0)[:-9],
+    ]
+    for c in cases:
+        text = "é " + base64.b64encode(c).decode()
+        assert (2, len(text.rstrip("=")), 1) in [(s, len(text[:e].rstrip("=")), k) for s, e, k, _ in secrets.secrets_of(text)[1]]
+
+
 def test_line_dedup(spark, rows):
     def xx(s):
         v = xxhash.xxh64_intdigest(s.encode(), 42)
