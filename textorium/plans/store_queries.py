@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables
 from ..operators import aggregation, annotation, chunking, frames, models, pages, rescoring
+from ..operators.pipeline import Pipeline
 from ..sources.stores import Store, embedded, fingerprinted
 from ..sources.tables import shared_folder, table
 from .base import CHUNKS, KEYS, OCCURRING, SCORES, WEIGHTED, documents, query, rounded, scores
@@ -135,3 +136,16 @@ def j08_j09_f04_reranked(spark, d):
     s = rescoring.rescored(c, scorers, "target", "text", premise_is_target=True)
     out = rescoring.reranked(s, {"length": {"entails": 1, "contradicts": -0.5}, "question": {"asks": 1}}, "conv_id", "turn", 3)
     return rounded(out, "utility_length", digits=9).select("conv_id", "turn", "rank", "utility_length", "utility_question")
+
+
+def _in_capitals(t):
+    return t.split()[0].upper()  # fails on texts without a word
+
+
+@query(r"""with d as (select doc_id, lang, text, regexp_extract(text, '[^\x20\x09-\x0D]+', 0) as w from documents)
+select case when lang is null or lang not in ('en', 'de') then 'language' when text is null or w = '' then 'first' when len(w) < 4 then 'long' end as step, count(*) as stopped,
+  count_if((text is null or w = '') and coalesce(lang in ('en', 'de'), false)) as failed from d where lang is null or lang not in ('en', 'de') or text is null or len(w) < 4 group by 1""")
+def m10_pipeline_report(spark, d):
+    """Two filters around a step that fails on texts without words: what each of them stops."""
+    p = Pipeline().keep("language", F.col("lang").isin("en", "de")).process("first", "text", _in_capitals).keep("long", F.length("first") >= 4)
+    return p.report(table(spark, d, "documents"))
