@@ -95,3 +95,48 @@ def test_near_copies_empty(spark):
     d = table(spark, [(1, "a b", "en", "s")])
     assert near_texts.keep_one(d.filter("false")).count() == 0
     assert near_texts.keep_one(d.union(d)).count() == 1
+
+
+def test_rows_of_a_large_group_of_half_similar_texts_are_linear(spark, tmp_path):
+    """Nothing but pairs with pivots and spanning links leaves a block, however many of a group's pairs nearly are similar."""
+    from pyspark.sql import functions as F
+
+    def rows(n):
+        g, w = np.random.default_rng(n), prose(995, 200).split()
+        t = []
+        for k in range(n):
+            c = list(w)
+            for i in g.choice(len(w), int(g.integers(2, 30)), replace=False):
+                c[i] = f"own{k}x{i}"
+            t.append(" ".join(c))
+        docs = table(spark, [(i, x, "en", "s") for i, x in enumerate(t)])
+        d = near_texts.written(near_texts.described(docs, "doc_id", "text", 5), "d")
+        texts = near_texts.written(d.groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("s").alias("s")), "t")
+        related, left = near_texts.kin(near_texts.written(near_texts.buckets(texts), "m"), texts)
+        clans = related.select(F.explode(F.array("a", "b")).alias("t")).distinct().withColumn("clan", F.lit(0)).join(texts.select("t", "n"), "t")
+        sets = near_texts.shingle_sets(docs, d, clans.select("t"), "doc_id", "text", 5)
+        return related.distinct().count(), near_texts.clan_links(clans, sets, 80).count(), near_texts.rest(left, texts).count()
+
+    related, found, left = rows(600)
+    most = 600 * near_texts.ROUNDS * near_texts.PRINTS * len(near_texts.table_masks())  # a member meets a pivot a table and round
+    assert found < 600 and related <= most and related < 600 * 599 / 2 / 8 and left < 600 * 599 / 2 / 50
+
+
+def test_similar_rows_against_all_pairs():
+    g = np.random.default_rng(9)
+    for case in range(40):
+        base = g.integers(0, 60, 40)
+        sets = [np.unique(np.where(g.random(40) < g.choice([0.02, 0.1, 0.5]), g.integers(0, 500, 40), base)) for _ in range(14)] + [np.array([7]), np.array([7])]
+        k = len(sets) if case % 2 else 6
+        found = near_texts.similar_rows(sets[:k], sets[k:] or None, 80)
+        pairs = [(i, j) for i in range(k) for j in (range(i + 1, k) if k == len(sets) else range(k, len(sets)))]
+        want = [(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        assert set(found) <= set(want)
+
+        def parts(links):
+            root = list(range(len(sets)))
+            for a, b in links * len(sets):
+                root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        assert parts(found) == parts(want)
