@@ -6,7 +6,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from textorium.operators import incremental
 from textorium.streaming import frontier
