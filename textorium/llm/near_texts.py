@@ -37,7 +37,7 @@ RADIUS, PRINTS, POSITIONS, FAR = 5, 2, 56, 28
 #: Members of a block, and their shingles.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 18
 #: Numbers of a sketch, a byte each; what makes texts kin, and what keeps them for another pivot; pivots of a bucket.
-SKETCH, LOOSE, CLOSE, ROUNDS = 64, 0.1, 0.5, 3
+SKETCH, LOOSE, CLOSE, ROUNDS = 64, 0.1, 0.4, 2
 #: Rows that a task deals to the tables' buckets.
 DEALT = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +137,12 @@ def kin(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, members
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """(a, b): fewer edges that reach the same: of a's neighbours b, one a pivot and table at most, each with the least of them."""
+    g = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
+    return g.select(F.explode(F.concat("bs", F.array("a"))).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+
+
 def similar_rows(left: list[np.ndarray], right: list[np.ndarray] | None, similar: int) -> list[tuple[int, int]]:
     """Links, as places in left + right, that span what similar pairs of left and right (of left alone without right) join."""
     sets = left if right is None else left + right
@@ -255,7 +261,7 @@ def links(docs: DataFrame, d: DataFrame, id_col: str, text: str, shingle: int, s
     """(a, b): each text (t) that isn't its component's smallest, with the smallest."""
     texts = written(d.filter("n > 0").groupBy("t").agg(F.first("n").alias("n"), F.first("f").alias("f"), F.first("s").alias("s")), "texts")
     related, left = kin(written(buckets(texts), "bucket-members"), texts)
-    e = components(related).toDF("t", "clan")
+    e = components(spanning(related)).toDF("t", "clan")
     clans = e.union(e.select(F.col("clan"), F.col("clan")).distinct()).join(texts.select("t", "n"), "t")
     clans = written(clans, "clans")
     own = shingle_sets(docs, d, clans.select("t"), id_col, text, shingle)
