@@ -144,6 +144,13 @@ def test_frames(spark):
     assert {r.doc_id: r.frame_scores["b"] for r in frames.as_maps(frames.weighted_documents(s, ["doc_id"]), ["doc_id"]).collect()}["d"] == pytest.approx(0.7)
 
 
+def test_equal_shares_tie(spark):
+    """Whatever their sums were added up in."""
+    rows = [("d", 0, "a", 0.3), ("d", 1, "b", 0.1 + 0.2), ("e", 0, "a", 0.3), ("e", 1, "b", 0.3 + 1e-9)]
+    top = frames.top_frames(spark.createDataFrame(rows, "doc_id string, frame_idx int, frame string, value double"), ["doc_id"])
+    assert {(r.doc_id, r["rank"]): r.frame for r in top.collect()} == {("d", 1): "a", ("d", 2): "b", ("e", 1): "b", ("e", 2): "a"}
+
+
 def test_rolling(spark):
     s = spark.createDataFrame([("a", dt.date(2024, 1, 1), 3.0), ("a", dt.date(2024, 1, 4), 6.0), ("b", dt.date(2024, 1, 2), 1.0)], "k string, day date, v double")
     d = rollup.rolling_mean(rollup.dense_days(s, ["k"], "day", "v"), ["k"], "day", "v", 2)
