@@ -241,6 +241,13 @@ def test_gradient_against_differences():
         assert abs((likelihood(m.filled(up)) - likelihood(m.filled(down))) / 2e-2 - grad[k]) < 2e-3
 
 
+def test_every_training_token_is_an_example_once(spark):
+    rows = [(i, prose(i, 50), "en", None, 0) for i in range(60)] + [(60, None, None, None, 0), (61, "", None, None, 0)]
+    words = language_model.listed([("the", 9)], 62, 3062, 100)
+    m = language_model.train(table(spark, rows).repartition(3), words)
+    assert m.examples == sum(len((t or "").split()) + 1 for _, t, *_ in rows)
+
+
 def test_the_model_learns_what_follows(spark):
     """Texts in which a word says what comes next: held-out texts are likelier than by counts alone."""
     g = random.Random(6)

@@ -7,9 +7,9 @@ pushes the scores of what follows over those of classes drawn at random (shared
 of texts are normalised, over all classes in batched matrix products, once for a task and pair of classes. Within a
 bin a word has its share of the bin's count; within the last class that of its count plus one, where all unknown words are one.
 
-All training documents are counted and trained on: every task goes over its own texts, taking SHARE of their tokens (drawn at
-random) as examples, from one common start, and the parameters are averaged by examples; ROUNDS times. What is broadcast are the
-parameters and the LISTED words; counts of the rest, which grow with the corpus, are joined.
+All training documents are counted, and each of their tokens is an example, once: the texts are dealt to ROUNDS rounds by
+hash; in a round every task goes over its own texts from one common start, and the parameters are averaged by examples. What is
+broadcast are the parameters and the LISTED words; counts of the rest, which grow with the corpus, are joined.
 
 Cases: a null text is an empty one, which is its end alone; a null id is in training (its remainder isn't 2); repeated rows count and are scored each;
 without training documents the base is one for every token and all that the model knows is that words are unknown; an empty table gives
@@ -32,8 +32,8 @@ from .common import written
 
 #: Words with a count of their own in every task, at most; of these so many are classes, the rest is in so many bins.
 LISTED, SHORT, BINS = 1 << 16, 480, 30
-#: Numbers of a class's vector; classes drawn against a batch of so many examples; step; share of tokens taken in a round.
-SIZE, NOISE, BATCH, STEP, SHARE, ROUNDS = 24, 64, 512, 0.05, 0.125, 2
+#: Numbers of a class's vector; classes drawn against a batch of so many examples; step; rounds that share the texts.
+SIZE, NOISE, BATCH, STEP, ROUNDS = 24, 64, 1024, 0.05, 2
 #: The end of a text among the words, which no word can be.
 END = " "
 #: Words counted before partial counts leave a task; parameters of a row that leaves it; tokens of a block that is scored.
@@ -86,12 +86,13 @@ def listed(top: list[tuple[str, int]], end: int, total: int, distinct: int, shor
 
 @dataclass
 class Model:
-    """Vectors of the classes before (with the start of a text), matrices of the two places, vectors and biases of what follows."""
+    """Vectors of the classes before (with the start of a text), matrices of the two places, vectors and biases of what follows; examples it was trained on."""
 
     before: np.ndarray
     place: np.ndarray
     after: np.ndarray
     bias: np.ndarray
+    examples: int = 0
 
     @classmethod
     def initial(cls, counts: np.ndarray, size: int = SIZE) -> Model:
@@ -166,8 +167,8 @@ def windows(texts: list[list[int]], words: Words) -> tuple[np.ndarray, np.ndarra
     return np.stack([c[at - 2], c[at - 1]], axis=1), c[at], flat[at]
 
 
-def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """The model of the texts of docs, averaged over its tasks in each round."""
+def train(docs: DataFrame, words: Words, rounds: int = ROUNDS) -> Model:
+    """The model of all tokens of the texts of docs, averaged over its tasks in each round."""
     spark = docs.sparkSession
     m = Model.initial(words.counts)
     shared = spark.sparkContext.broadcast(words)
@@ -186,8 +187,7 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, share: float = SH
             for b in batches:
                 for at in range(0, len(b), 64):
                     nx, ny, _ = windows([list(map(number.__getitem__, split(s))) for s in b["text"].iloc[at : at + 64]], words)
-                    some = t.rng.random(len(ny)) < share
-                    x, y = np.concatenate([x, nx[some]]), np.concatenate([y, ny[some]])
+                    x, y = np.concatenate([x, nx]), np.concatenate([y, ny])
                     while len(y) >= BATCH:
                         t.take(x[:BATCH], y[:BATCH])
                         x, y, n = x[BATCH:], y[BATCH:], n + BATCH
@@ -204,12 +204,14 @@ def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, share: float = SH
                 for i, n, v in zip(b["block"], b["n"], b["v"]):
                     v = np.frombuffer(v)
                     total[i] = [total[i][0] + n, total[i][1] + v] if i in total else [n, v]
-            yield pd.DataFrame({"block": list(total), "v": [(v / n).tobytes() for n, v in total.values()]})
+            yield pd.DataFrame({"block": list(total), "n": [n for n, _ in total.values()], "v": [(v / n).tobytes() for n, v in total.values()]})
 
         kind = "block int, n long, v binary"
-        parts = docs.select("text").mapInPandas(run, kind).repartition("block").mapInPandas(added, "block int, v binary").collect()
+        own = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        parts = own.mapInPandas(run, kind).repartition("block").mapInPandas(added, kind).collect()
         if parts:
-            m = m.filled(np.concatenate([np.frombuffer(v) for _, v in sorted(parts)]))
+            m, examples = m.filled(np.concatenate([np.frombuffer(v) for *_, v in sorted(parts)])), m.examples + parts[0].n
+            m.examples = examples
     return m
 
 
