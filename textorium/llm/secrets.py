@@ -9,8 +9,9 @@ the characters themselves for the character-wise encodings, to the whole encoded
 A run is decoded at each of its four alignments, so that whatever part of it is base64 comes out whole; other bytes of
 a layer don't hinder the scan. A stream whose content is over PIECE bytes is scanned in pieces that overlap by OVERLAP, as it
 unpacks, and a broken one as far as it goes; streams within it are fed from it as it goes on, at any depth, so that none
-ends at a piece's border. A large one costs time, not memory. Only finds and base64 runs longer
-than OVERLAP that lie over the border of two pieces can be cut.
+ends at a piece's border. A large one that a large content holds is known by the digest of all it unpacks to, so that only one
+that was gone over whole is not again, and is then unpacked anew from where it begins. Large ones cost time, not memory. Only
+finds and base64 runs longer than OVERLAP that lie over the border of two pieces can be cut.
 
 Cases: null text is empty and has no spans; repeated rows are scanned each; an empty table gives an empty result;
 other columns of the input are ignored. Spans are code points, end exclusive.
@@ -61,85 +62,102 @@ class _Part(bytes):
     """A piece of a content; streams in it are unpacked with the content, not with the piece."""
 
 
-class _Stream:
-    """A stream that is unpacked as its bytes come; what it and the streams within it hold comes out whole or in parts.
+def _feed(d, data: bytes):
+    """(what the bytes unpack to as far as they go, whether that is all): what comes before an error counts."""
+    before = d.copy()
+    try:
+        return d.decompress(data), d.eof
+    except zlib.error:
+        got = b""
+        with contextlib.suppress(zlib.error):
+            for k in range(len(data)):
+                got += before.decompress(data[k : k + 1])
+        return got, True
+
+
+class _Content:
+    """What a stream unpacks to, gone over as often as wanted: the stream begins at a place in bytes or in another content."""
+
+    def __init__(self, within, at: int):
+        self.within, self.at = within, at
+
+    def __iter__(self):
+        d, skip = zlib.decompressobj(47), self.at
+        for data in self.within if isinstance(self.within, _Content) else (self.within,):
+            if skip >= len(data):
+                skip -= len(data)
+                continue
+            for i in range(skip, len(data), CHUNK):
+                got, over = _feed(d, data[i : i + CHUNK])
+                yield got
+                if over:
+                    return
+            skip = 0
 
-    begun: the beginnings of large contents, so that one that holds itself isn't unpacked for ever.
-    """
 
-    def __init__(self, begun: set[bytes]):
-        self.d, self.begun = zlib.decompressobj(47), begun
-        self.held, self.new, self.tail, self.within = bytearray(), 0, b"", None
-        self.done, self.left = False, 0
+class _Stream:
+    """A stream that is unpacked as its bytes come: its content if that is small, else its digest."""
+
+    def __init__(self, at: int):
+        self.at, self.d, self.digest = at, zlib.decompressobj(47), hashlib.md5()
+        self.held, self.large, self.over, self.left = bytearray(), False, False, 0
 
-    def feed(self, data):
+    def feed(self, data) -> None:
         """Takes the bytes up to the stream's end; left: how many are none of it."""
         for i in range(0, len(data), CHUNK):
-            chunk, before = data[i : i + CHUNK], self.d.copy()
-            try:
-                got = self.d.decompress(chunk)
-            except zlib.error:  # what comes before the error counts
-                self.d, got = before, b""
-                with contextlib.suppress(zlib.error):
-                    for k in range(len(chunk)):
-                        got += self.d.decompress(chunk[k : k + 1])
-                yield from self._hold(got)
-                yield from self.close()
+            if self.over:
                 return
-            yield from self._hold(got)
+            got, self.over = _feed(self.d, data[i : i + CHUNK])
+            self.digest.update(got)
+            if not self.large:
+                self.held += got
+                if len(self.held) >= PIECE:
+                    self.large, self.held = True, bytearray()
             if self.d.eof:
-                self.left = len(data) - i - len(chunk) + len(self.d.unused_data)
-                yield from self.close()
-                return
-
-    def _hold(self, got: bytes):
-        self.held += got
-        self.new += len(got)
-        if self.within is not None:
-            yield from self._inner(got)
-        elif len(self.held) >= PIECE:
-            begin = hashlib.md5(self.held[:PIECE]).digest()
-            self.within = []
-            if begin in self.begun:
-                self.done, self.new = True, 0
-                return
-            self.begun.add(begin)
-            yield from self._inner(bytes(self.held))
-        if self.new >= PIECE:
-            yield _Part(self.held)
-            self.held, self.new = self.held[-OVERLAP:], 0
-
-    def _inner(self, data: bytes):
-        for s in self.within:
-            yield from s.feed(data)
-        both = self.tail + data
+                self.left = len(data) - min(i + CHUNK, len(data)) + len(self.d.unused_data)
+
+
+def _large(content: _Content, seen: set[bytes]):
+    """A large content in pieces, then what the streams within it hold; contents in seen, by digest, are not gone over again."""
+    held, new, tail, at, open_streams, large = bytearray(), 0, b"", 0, [], []
+    for got in content:
+        held += got
+        new += len(got)
+        if new >= PIECE:
+            yield _Part(held)
+            held, new = held[-OVERLAP:], 0
+        for s in open_streams:
+            s.feed(got)
+        both = tail + got
         for m in STREAM.finditer(both):
-            if m.end() > len(self.tail):
-                s = _Stream(self.begun)
-                yield from s.feed(both[m.start() :])
-                self.within.append(s)
-        self.within = [s for s in self.within if not s.done]
-        self.tail = both[-2:]
-
-    def close(self):
-        if self.done:
-            return
-        self.done = True
-        if self.new:
-            yield bytes(self.held) if self.within is None else _Part(self.held)
-        for s in self.within or ():
-            yield from s.close()
-        self.held, self.within = bytearray(), []
+            if m.end() > len(tail):
+                open_streams.append(_Stream(at - len(tail) + m.start()))
+                open_streams[-1].feed(both[m.start() :])
+        yield from (bytes(s.held) for s in open_streams if s.over and s.held)
+        large += [s for s in open_streams if s.over and s.large]
+        open_streams = [s for s in open_streams if not s.over]
+        tail, at = both[-2:], at + len(got)
+    if new:
+        yield _Part(held)
+    yield from (bytes(s.held) for s in open_streams if s.held)
+    for s in large + [s for s in open_streams if s.large]:
+        if s.digest.digest() not in seen:
+            seen.add(s.digest.digest())
+            yield from _large(_Content(content, s.at), seen)
 
 
 def _unpacked(raw: bytes):
     """The content of each gzip or zlib stream in the bytes as far as it unpacks; in parts if it is large, with those of streams within it."""
-    view, at, begun = memoryview(raw), 0, set()
+    view, at, seen = memoryview(raw), 0, set()
     while m := STREAM.search(raw, at):
-        s = _Stream(begun)
-        yield from s.feed(view[m.start() :])
+        s = _Stream(m.start())
+        s.feed(view[m.start() :])
         at = len(raw) - s.left if s.d.eof else m.start() + 1
-        yield from s.close()
+        if s.held:
+            yield bytes(s.held)
+        elif s.large and s.digest.digest() not in seen:
+            seen.add(s.digest.digest())
+            yield from _large(_Content(raw, m.start()), seen)
 
 
 def _replaced(text: str, where, pattern: re.Pattern, decode):
