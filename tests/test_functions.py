@@ -360,6 +360,33 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert order(retrieval.top_k(q, v, 7)) == want
 
 
+def test_top_k_scores_few_rows_at_once(spark, monkeypatch):
+    """A task's memory doesn't grow with queries times vectors; ties and vectors without length across the seams."""
+    import tracemalloc
+
+    import pandas as pd
+
+    g = np.random.default_rng(4)
+    x = g.integers(-2, 3, (4000, 3)).astype(float)
+    q = spark.createDataFrame(pd.DataFrame({"query_id": range(2000), "embedding": x[:2000].tolist()}))
+    v = spark.createDataFrame(pd.DataFrame({"vec_id": range(10), "embedding": x[:10].tolist()}))
+    runs, plain = [], type(v).mapInPandas
+    monkeypatch.setattr(type(v), "mapInPandas", lambda self, f, kinds: runs.append(f) or plain(self, f, kinds))
+    retrieval.top_k(q, v, 7)
+    batch = pd.DataFrame({"i": range(4000), "v": list(x)})
+    tracemalloc.start()
+    got = pd.concat(list(runs[0](iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    some = {k: list(d["i"]) for k, d in got.groupby("q")}
+    n = np.linalg.norm(x, axis=1)
+    assert set(some) == {j for j in range(2000) if n[j]}
+    for j in sorted(some)[::97]:
+        cos = np.divide(x @ x[j], n * n[j], out=np.full(4000, -9.0), where=n > 0).round(9)
+        assert cos[some[j]].tolist() == sorted(cos, reverse=True)[:7]
+
+
 def test_clean_binds_its_steps_once(spark):
     d = spark.createDataFrame([(1, "  keep this LICENSE all gone "), (2, "spam spam"), (3, None), (4, "a!!b")], "id int, t string")
     got = {r.id: r.c for r in d.select("id", text.clean("t", ["License", "this"], ["!!", "("], {"spam": 2}).alias("c")).collect()}

@@ -1,6 +1,6 @@
 """Exact vector search and two-stage rescoring.
 
-Query blocks are broadcast and scored against the corpus in numpy, which keeps the best k of each task; only those
+Query blocks are broadcast and scored against the corpus in numpy, ROWS by ROWS, which keeps the best k of each task; only those
 travel. A query set beyond BLOCK rows is run block by block, each block's best written to the shared folder before the
 next is read, so that driver and executors hold one block at a time.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-#: Queries of a broadcast block.
-BLOCK = 4096
+#: Queries of a broadcast block; vectors, and queries, that are scored at once.
+BLOCK, ROWS = 4096, 512
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -40,19 +40,28 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query
 
         def run(batches, held=held):
             ids, q = held.value
-            best: list[tuple] = [(np.empty(0), np.empty(0))] * len(ids)
-            for x in batches:
-                if not len(x) or not len(ids):
-                    continue
-                s, vid = q @ _directions(np.stack(x["v"].to_numpy()).astype(np.float64)).T, x["i"].to_numpy()
-                for j, row in enumerate(s):
-                    ok = ~np.isnan(row)
-                    score, near = np.append(best[j][0], row[ok]), np.append(best[j][1], vid[ok]) if len(best[j][1]) else vid[ok]
-                    order = np.lexsort((near, -score))[:k]
-                    best[j] = score[order], near[order]
-            for j, (score, near) in enumerate(best):
-                if len(score):
-                    yield pd.DataFrame({"q": ids[j], "i": near, "s": score})
+            # The best so far, a row per query, best first; places that nothing took yet are below all scores.
+            score, near, got = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=object), np.zeros(len(ids), dtype=np.int64)
+            for b in batches:
+                for at in range(0, len(b) if len(ids) else 0, ROWS):
+                    x = b.iloc[at : at + ROWS]
+                    v, vid = _directions(np.stack(x["v"].to_numpy()).astype(np.float64)), x["i"].to_numpy()
+                    v, vid = v[~np.isnan(v[:, 0])], vid[~np.isnan(v[:, 0])]
+                    if near.dtype == object and vid.dtype != object:
+                        near = near.astype(vid.dtype)
+                    for first in range(0, len(ids), ROWS):
+                        s = q[first : first + ROWS] @ v.T
+                        for j in np.flatnonzero((s >= score[first : first + ROWS, -1:]).any(axis=1)):
+                            new, j = np.flatnonzero(s[j] >= score[first + j, -1]), first + j
+                            both, who = np.append(score[j, : got[j]], s[j - first, new]), np.append(near[j, : got[j]], vid[new])
+                            order = np.lexsort((who, -both))[:k]
+                            got[j] = len(order)
+                            score[j, : got[j]], near[j, : got[j]] = both[order], who[order]
+            for first in range(0, len(ids), ROWS):
+                some = [j for j in range(first, min(first + ROWS, len(ids))) if got[j]]
+                if some:
+                    who, best = (np.concatenate([a[j, : got[j]] for j in some]) for a in (near, score))
+                    yield pd.DataFrame({"q": [ids[j] for j in some for _ in range(got[j])], "i": who, "s": best})
 
         part = vectors.select(F.col(vector_id).alias("i"), F.col(vector).alias("v")).mapInPandas(run, kinds)
         parts.append(part if blocks == 1 else written(_best(part, k), "nearest"))
