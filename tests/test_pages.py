@@ -60,3 +60,16 @@ def test_query_finds_the_paragraphs_of_every_page(spark):
     rows = out.collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert sum(r.method != "none" for r in rows) > 0.9 * len(rows)
+
+
+def test_few_pages_are_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    runs, plain = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, kinds: runs.append(f) or plain(self, f, kinds))
+    d = spark.createDataFrame([(1, "<p>x</p>")], "k long, html string")
+    pages.main_content(d, "k")
+    html = [None if k % 7 == 0 else f"<article><p>page {k}</p></article>" for k in range(300)]
+    out = list(runs[0](iter([pa.RecordBatch.from_pydict({"k": range(300), "_html": html})])))
+    assert max(b.num_rows for b in out) <= 64
+    assert [(r["k"], r["_selector"]) for b in out for r in b.to_pylist()] == [(k, "" if k % 7 == 0 else f"page {k}") for k in range(300)]

@@ -13,11 +13,12 @@ from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of, valid_content
+from ..sources.tables import slices
 
 # What is cut away, and where the content is looked for, in this order.
 CUT_TAGS = ("script", "style", "nav", "header", "footer")
@@ -179,17 +180,17 @@ def structured_date(nodes: Column) -> Column:
 def main_content(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
     """(keep, method, text, published_at): each page's content and where it comes from: structured, selector, density, stripped or none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            both = [candidates(x) for x in b["_html"]]
-            b["_selector"], b["_density"] = [x for x, _ in both], [x for _, x in both]
-            yield b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            both = [candidates(x.as_py()) for x in b["_html"]]
+            found = [pa.array([x[k] for x in both], pa.string()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, "_selector", "_density"])
 
     plain = F.regexp_replace(F.regexp_replace(text_of("_html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
     plain = F.trim(F.regexp_replace(plain, r"\s+", " "))
     nodes = structured_nodes(F.col("_html"))
     kinds = "".join(f"`{k}` {pages.schema[k].dataType.simpleString()}, " for k in keep)
-    d = pages.select(*keep, F.col(html).alias("_html")).mapInPandas(run, f"{kinds}_html string, _selector string, _density string")
+    d = pages.select(*keep, F.col(html).alias("_html")).mapInArrow(run, f"{kinds}_html string, _selector string, _density string")
     d = d.select(*keep, structured_body(nodes).alias("_body"), structured_date(nodes).alias("published_at"), "_selector", "_density", plain.alias("_plain"))
     long = F.length("_selector") > LEAST_TEXT
     dense = valid_content("_density")
