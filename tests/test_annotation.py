@@ -66,3 +66,17 @@ def test_annotated_documents(spark):
     assert page.startswith('<span class="frame" style="background-color: rgba(255, 0, 0, 0.50);" title="a (0.50)">Prices rise &amp; fall.</span> ')
     assert "They<br>\n said" in page and 'rgba(0, 0, 0, 0.20);" title="b (0.01)"' in page
     assert annotation.located_spans(d.limit(0), p, "k").isEmpty()
+
+
+def test_few_documents_are_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    runs, plain = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, kinds: runs.append(f) or plain(self, f, kinds))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    passages = spark.createDataFrame([(1, 0, "a", ("f", 0.5))], "doc_id long, o int, passage string, top struct<frame:string,p:double>")
+    annotation.located_spans(docs, passages, "o")
+    own = [[{"o": 0, "x": "b", "f": "f", "p": 0.5}]] * 300
+    out = list(runs[0](iter([pa.RecordBatch.from_pydict({"doc_id": range(300), "_text": ["a" * k + "b" for k in range(300)], "_own": own})])))
+    assert max(b.num_rows for b in out) <= 64
+    assert [r["_spans"][0]["start"] for b in out for r in b.to_pylist()] == list(range(300))

@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import slices
+
 #: Characters that three dots in a passage may stand for.
 ELLIPSIS = 160
 SPAN = "start int, `end` int, frame string, p double"
@@ -73,19 +75,20 @@ def located_spans(docs: DataFrame, passages: DataFrame, order: str, keys: Sequen
     p = p.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(passage).alias("x"), F.col(f"{top}.frame").alias("f"), F.col(f"{top}.p").alias("p")))).alias("_own"))
     d = docs.select(*keys, F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).join(p, keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("frame", pa.string()), ("p", pa.float64())]))
+        for b in slices(batches):
             found = []
             for t, own in zip(b["_text"], b["_own"]):
+                t, own = t.as_py(), own.as_py()
                 free = Free(t, min(len(x["x"].strip()) for x in own))
                 at = [(free.take(x["x"]), x) for x in own]
                 found.append(sorted((*s, x["f"], x["p"]) for s, x in at if s))
-            b = b.drop(columns=["_text", "_own"])
-            b["_spans"] = [[dict(zip(("start", "end", "frame", "p"), s)) for s in f] for f in found]
-            yield b
+            spans = pa.array([[dict(zip(("start", "end", "frame", "p"), s)) for s in f] for f in found], kind)
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), spans], [*keys, "_spans"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    s = d.mapInPandas(run, f"{kinds}, _spans array<struct<start:int,`end`:int,frame:string,p:double>>")
+    s = d.mapInArrow(run, f"{kinds}, _spans array<struct<start:int,`end`:int,frame:string,p:double>>")
     before = F.transform("_spans", lambda x, i: F.struct(x["start"], x["end"], x["frame"], x["p"], (x["start"] - F.when(i > 0, F.col("_spans")[i - 1]["end"]).otherwise(0)).alias("gap")))
     return s.select(*keys, F.explode(before).alias("s")).select(*keys, "s.*")
 
