@@ -31,7 +31,7 @@ EQUAL = (
 )
 
 
-@pytest.mark.parametrize("name", ["d42_top_frames"])
+@pytest.mark.parametrize("name", ["d42_top_frames", "e05_top_frames"])
 def test_equal_shares_rank_as_in_sql(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, [text(s) for s in EQUAL] + [text(s[::-1]) for s in EQUAL])
     assert got == want and len({r[0] for r in got}) == 2 * len(EQUAL)
