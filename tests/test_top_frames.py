@@ -35,3 +35,8 @@ EQUAL = (
 def test_equal_shares_rank_as_in_sql(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, [text(s) for s in EQUAL] + [text(s[::-1]) for s in EQUAL])
     assert got == want and len({r[0] for r in got}) == 2 * len(EQUAL)
+
+
+def test_sentences_are_read_to_their_end(spark, tmp_path):
+    got, want = both(spark, tmp_path, "e05_top_frames", [text(["and " * 200 + "the " * 300]), text(["of"]) + " \n" + text(["zz " * 400 + "in"])])
+    assert got == want == [(0, 1, "access", 0.6), (0, 2, "burden", 0.4), (1, 1, "change", 0.997512), (1, 2, "duty", 0.002488)]
